@@ -28,8 +28,8 @@ from faultline.runtime import cut
 FEATURES = 1 << 17
 #: Rounds of expectation-maximization.
 ROUNDS = 4
-#: Log odds above which a passage is residue, and what a trusted pattern adds to them.
-THRESHOLD, TRUST = -1.0, 6.0
+#: Log odds above which a passage is residue, and the least that a trusted one has.
+THRESHOLD, TRUST = -2.0, 1.0
 #: Words and pairs of words say much the same twice over: their evidence counts this much.
 TEMPER = 0.4
 #: A stretch of at least so many words with so much evidence is residue whatever follows it in the same passage.
@@ -42,7 +42,7 @@ MASKS = ("<ID>", "<DATE>", "<UUID>")
 # The shapes of slots that only templates have. Names are words with blanks, dots, dashes or underscores.
 _NAME = r"[A-Za-zÀ-ÿ][\wÀ-ÿ .\-]{0,40}?"
 SURE_SLOTS = [
-    r"\{\{\s*" + _NAME + r"\s*\}\}", r"\$\{\s*" + _NAME + r"\s*\}", r"#\{\s*" + _NAME + r"\s*\}", r"\{%-?\s*" + _NAME + r"\s*-?%\}", r"\[\[\s*" + _NAME + r"\s*\]\]",
+    r"\{\{\s*" + _NAME + r"\s*\}\}", r"(?<![\w/:=])\$\{\s*" + _NAME + r"\s*\}(?![\w/:])", r"#\{\s*" + _NAME + r"\s*\}", r"\{%-?\s*" + _NAME + r"\s*-?%\}", r"\[\[\s*" + _NAME + r"\s*\]\]",
     r"<<\s*" + _NAME + r"\s*>>", r"%\(" + _NAME + r"\)[sd]", r"%%" + _NAME + r"%%", r"(?<![\w@])@[A-Za-zÀ-ÿ_]{2,40}@(?!\w)", r"(?<!\w)__[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ_]{1,40}?__(?!\w)",
     r"(?<!\w)_{4,}(?!\w)", r"\bXX \w[\w ]{1,40} XX\b", r"\[(?:insert|fill in|your|enter)\b[^\]\n]{0,60}\]", r"\((?:insert|fill in|enter)\b[^)\n]{0,60}\)",
 ]
@@ -126,20 +126,31 @@ def repeats(words: list[str]) -> bool:
     return len(words) >= 6 and len(set(words)) <= max(2, len(words) // 5)
 
 
-def is_trusted(passage: str, key: str) -> bool:
+def is_trusted(passage: str, key: str) -> int:
+    """2 if all of a passage is what trusted patterns name, 1 if it holds a sure slot or filler, else 0."""
     words = re.findall(r"[^\W\d_]+", key)
-    return "surelyslot" in key or bool(_TRUSTED.fullmatch(key)) or bool(_FILLER.search(key)) or repeats(words)
+    if _TRUSTED.fullmatch(key) or repeats(words):
+        return 2
+    return int("surelyslot" in key or bool(_FILLER.search(key)))
 
 
 def tokens_of(key: str) -> list[str]:
     return [t for t in _TOKEN.findall(key) if t.isalpha() or t == "0" or "'" in t or t in "|<>{}[]_@%#"]
 
 
-def features_of(key: str) -> list[int]:
-    """Feature buckets of a passage: its words, then its neighbouring pairs, each in order."""
+def words_and_pairs(key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of a passage's words and of its neighbouring pairs, each in order."""
     t = tokens_of(key)
     h = lambda s: zlib.crc32(s.encode()) & (FEATURES - 1)
-    return [h(w) for w in t] + [h(f"{a} {b}") for a, b in zip(t, t[1:], strict=False)]
+    alike = ["slot" if w in ("surelyslot", "maybeslot") else w for w in t]  # what is said around slots does not depend on their shape
+    return np.array([h(w) for w in t], np.int64), np.array([h(f"{a} {b}") for a, b in zip(alike, alike[1:], strict=False)], np.int64)
+
+
+def best_stretch(odds: np.ndarray) -> tuple[int, int]:
+    """First and end of the run of words with the most evidence."""
+    c = np.cumsum(np.r_[0.0, odds])
+    end = int(np.argmax(c[1:] - np.minimum.accumulate(c[:-1]))) + 1
+    return int(np.argmin(c[:end])), end
 
 
 class Model:
@@ -153,19 +164,16 @@ class Model:
         self.odds[(positive + negative) < 1e-9] = 0.0
         self.prior = math.log(prior) - math.log1p(-prior)
 
-    def score(self, features: list[int]) -> float:
+    def score(self, words: np.ndarray, pairs: np.ndarray) -> float:
         """Log odds that a passage is residue; each feature counts once."""
-        return self.prior + float(self.odds[np.unique(np.asarray(features, np.int64))].sum()) if features else -50.0
+        return self.prior + float(self.odds[np.unique(np.r_[words, pairs])].sum()) if len(words) else -50.0
 
-    def stretch(self, key: str) -> float:
+    def stretch(self, words: np.ndarray) -> float:
         """Evidence of the best stretch of STRETCH_WORDS words or more."""
-        t = tokens_of(key)
-        if len(t) < STRETCH_WORDS:
+        if len(words) < STRETCH_WORDS:
             return 0.0
-        o = self.odds[np.asarray([zlib.crc32(w.encode()) & (FEATURES - 1) for w in t], np.int64)]
-        c = np.cumsum(np.r_[0.0, o])
-        low = np.minimum.accumulate(c[: len(c) - STRETCH_WORDS])
-        return float((c[STRETCH_WORDS:] - low).max())
+        c = np.cumsum(np.r_[0.0, self.odds[words]])
+        return float((c[STRETCH_WORDS:] - np.minimum.accumulate(c[: len(c) - STRETCH_WORDS])).max())
 
 
 def passage_table(documents: DataFrame) -> DataFrame:
@@ -179,7 +187,7 @@ def passage_table(documents: DataFrame) -> DataFrame:
                     k = normal(p)
                     row = seen.setdefault(k, [0, 0])
                     row[0] += 1
-                    row[1] = row[1] or int(is_trusted(p, k))
+                    row[1] = max(row[1], is_trusted(p, k))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int32())], names=["key", "n", "trusted"])
 
     return documents.select("text").where("text is not null").mapInArrow(run, "key string, n long, trusted int").groupBy("key").agg(F.sum("n").alias("n"), F.max("trusted").alias("trusted"))
@@ -194,14 +202,22 @@ def _totals(passages: DataFrame, model: Model | None) -> tuple[np.ndarray, np.nd
         pos, neg = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
         for b in batches:
             for key, n, trusted in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                f = np.unique(np.asarray(features_of(key), np.int64))
-                w = math.sqrt(n)  # a copied passage counts more, but does not outweigh all others
+                words, pairs = words_and_pairs(key)
+                if not len(words):
+                    continue
+                f, w = np.unique(np.r_[words, pairs]), math.sqrt(n)  # a copied passage counts more, but does not outweigh all others
                 if trusted:
                     r = 1.0
                 elif m is None:
                     r = 0.0
                 else:
-                    r = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, m.prior + float(m.odds[f].sum())))))
+                    r = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, m.score(words, pairs)))))
+                if m is not None and trusted < 2 and r > 0.01:
+                    # residue may share its passage with ordinary words: only its best stretch is positive
+                    s, e = best_stretch(m.odds[words])
+                    own = np.unique(np.r_[words[s:e], pairs[s : max(s, e - 1)]])
+                    neg[np.setdiff1d(f, own)] += w
+                    f = own
                 pos[f] += r * w
                 neg[f] += (1.0 - r) * w
                 pos[FEATURES] += r * w
@@ -235,10 +251,11 @@ def judge(model: Model, text: str | None) -> tuple[float, str]:
     best, kind = -50.0, ""
     for p in passages_of(text):
         key = normal(p)
-        score = model.score(features_of(key)) + (TRUST if is_trusted(p, key) else 0.0)
+        words, pairs = words_and_pairs(key)
+        score = model.score(words, pairs)
         sure = "surelyslot" in key
-        if score <= THRESHOLD and model.stretch(key) >= STRETCH_ODDS:
-            score = max(score, THRESHOLD + 1e-3)
+        if score <= THRESHOLD and (model.stretch(words) >= STRETCH_ODDS or is_trusted(p, key)):
+            score = TRUST
         if score > best:
             best = score
             if score > THRESHOLD:
