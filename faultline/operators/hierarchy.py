@@ -188,7 +188,8 @@ def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
                 F.coalesce("root", "u_root").alias("root"),
                 F.coalesce("depth", F.col("u_depth") + step).alias("depth"),
                 (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"),
-            )
+            ),
+            state,
         )
         step *= 2
         now = state.where("anc is not null").count()
@@ -207,9 +208,9 @@ def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         u = chain.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("node").alias("__id"), F.col("head").alias("u_head"), F.col("pos").alias("u_pos"))
         to_head = [*(F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group), F.col("head") == F.col("__id"), F.col("heavy")]
-        nxt = cut(chain.join(u, to_head, "left").withColumn("moved", F.coalesce(F.col("u_pos"), F.lit(0))).withColumn("head", F.coalesce("u_head", "head")).withColumn("pos", F.col("pos") + F.col("moved")).drop("u_head", "u_pos", "__id", *(f"__{g}" for g in group)))
-        chain = nxt.drop("moved")
-        if nxt.where("moved > 0").isEmpty():
+        nxt = cut(chain.join(u, to_head, "left").withColumn("moved", F.coalesce(F.col("u_pos"), F.lit(0))).withColumn("head", F.coalesce("u_head", "head")).withColumn("pos", F.col("pos") + F.col("moved")).drop("u_head", "u_pos", "__id", *(f"__{g}" for g in group)), chain)
+        chain = nxt
+        if chain.where("moved > 0").isEmpty():
             break
 
     # preorder, heavy child first: a light child comes after the heavy one and the light ones before it.

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +19,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for this application's intermediate tables, inside the session's checkpoint folder, which all executors share.
 
-    The folder is the session's spark.checkpoint.dir, which all executors share, so the result
-    survives the loss of an executor. Only where none is set (tests) a folder of this process is used.
+    Only where the session names none (tests) a temporary folder of this machine is used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    sc = spark.sparkContext
+    root = sc._jsc.sc().getCheckpointDir()
+    if root.isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"faultline-checkpoints-{os.getpid()}"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"faultline-{os.getpid()}"))
+        root = sc._jsc.sc().getCheckpointDir()
+    return f"{root.get()}/faultline"
+
+
+def cut(df: DataFrame, *replaces: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that its lineage ends and a lost executor costs nothing.
+
+    A written table also ends what a checkpointed plan hands on: its inferred constraints and its estimated
+    size, which grow without bound over the rounds of an iteration. replaces: earlier results of cut that
+    nothing reads any more; their files are removed.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark.sparkContext, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._faultline_path = path
+    for old in replaces:
+        _remove(spark.sparkContext, getattr(old, "_faultline_path", None))
+    return out
+
+
+_WRITTEN: list[tuple] = []
+
+
+def _remove(sc, path: str | None) -> None:
+    if path:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for sc, path in _WRITTEN:
+        try:
+            if sc._jsc is not None:
+                _remove(sc, path)
+        except Exception:  # noqa: BLE001 - the session has ended before
+            return
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
