@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.shred import shred
+from faultline.runtime import cut
 
 #: Paths that name or type a line and are no fields.
 NO_FIELDS = ["span_id", "kind", "status"]
@@ -58,7 +59,9 @@ def changes(lines: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     The first file of a producer changes nothing. Repeated lines count once; a value that is null on
     either side says nothing about a rename.
     """
-    stats = path_types(lines) if stats is None else stats
+    if stats is None:
+        lines = cut(lines)  # parsed once, read several times
+        stats = cut(path_types(lines))
     files = stats.select(*FILE).distinct()
     before = stats.select("producer", (F.col("file_seq") + 1).alias("file_seq"), "path", F.col("type").alias("old_type"), F.lit(True).alias("was"))
     both = (
@@ -145,15 +148,13 @@ def unify(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     A value that its column's type cannot hold is null in the table and counted in failed casts (producer,
     file_seq, path, column, values, failed). Fields that stand for no canonical column stay out of the table.
     """
-    lines = load_lines(files)
-    stats = path_types(lines)
-    report = changes(lines, stats)
+    lines = cut(load_lines(files))
+    stats = cut(path_types(lines))
+    report = cut(changes(lines, stats))
     mapped = canonical_fields(stats, report).where("column is not null")
     # each file's mapping as one small map, so that its lines need one join and no pivot
     maps = mapped.groupBy(*FILE).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("path", "column")))).alias("columns"))
     with_map = lines.join(maps, FILE, "left")
-    value = lambda c: F.element_at(F.filter(F.map_values(F.transform_values(F.coalesce("columns", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda p, x: F.when(x == c, F.try_element_at("fields", p)))), lambda v: v.isNotNull()), 1)
-
     def typed(c: str, t: str) -> Column:
         raw = F.when(F.size(F.filter(F.map_values(F.coalesce("columns", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))), lambda x: x == c)) > 0, F.get(F.filter(F.transform(F.map_keys("columns"), lambda p: F.when(F.col("columns")[p] == c, F.col("fields")[p])), lambda v: v.isNotNull()), F.lit(0)))
         bare = F.regexp_replace(raw, r'^\[\s*"?|"?\s*\]$', "") if t in ("bigint", "double") else raw
