@@ -98,3 +98,6 @@ def p5_circles(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_zone_estimates, p3_found, p3_table, p3_failed_casts, p4_found, p4_spans, p4_messages, p4_parts, p5_found, p5_paths, p5_descendants, p5_circles)}
+
+#: Equivalent SQL where SQL can say it.
+SQL: dict[str, str] = {}
