@@ -1,0 +1,178 @@
+"""Affine-gap global alignment, consensus profiles and the contrast of a failed run with its references.
+
+Alignment has no relational form, so it runs in Arrow batches: a row holds one run and the bounded pool of
+reference runs of its agent, and every row is independent of all others.
+"""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Alignment and scoring constants (fixed values).
+GAP_OPEN, GAP_EXTEND = -1.0, -0.2
+LEAST_REFERENCES, MOST_REFERENCES, GATE, PLATEAU, TOP = 3, 25, 0.85, 0.05, 5
+WEIGHTS = {"cliff": 0.40, "transition": 0.20, "profile": 0.20, "earliness": -0.05}
+NO_COLUMN = 5.0
+
+
+def gotoh(score: np.ndarray, gap_open: float = GAP_OPEN, gap_extend: float = GAP_EXTEND) -> tuple[float, list[str], np.ndarray]:
+    """Score, operations and best-score matrix of a global alignment with affine gaps.
+
+    score[i, j] is what matching element i of the first run with j of the second is worth. A gap of length n costs gap_open + (n - 1)
+    * gap_extend. Of equal ways a match wins over a deletion and that over an insertion. An operation is match, mismatch
+    (a pairing worth nothing or less), deletion (first run only: 'insertion' there) or insertion.
+    """
+    n, m = score.shape
+    low = -1e18
+    pair, down, right = (np.full((n + 1, m + 1), low) for _ in range(3))
+    pair[0, 0] = 0.0
+    down[1:, 0] = gap_open + gap_extend * np.arange(n)
+    right[0, 1:] = gap_open + gap_extend * np.arange(m)
+    cols = np.arange(m)
+    for i in range(1, n + 1):
+        best_above = np.maximum(np.maximum(pair[i - 1], down[i - 1]), right[i - 1])
+        pair[i, 1:] = best_above[:-1] + score[i - 1]
+        opened = np.maximum(pair[i - 1], right[i - 1]) + gap_open
+        down[i, 1:] = np.maximum(opened, down[i - 1] + gap_extend)[1:]
+        # along the row: the best start of a gap, discounted by its length, is a running maximum
+        start = np.maximum(pair[i, :-1], down[i, :-1]) + gap_open - gap_extend * cols
+        right[i, 1:] = np.maximum.accumulate(start) + gap_extend * cols
+    best = np.maximum(np.maximum(pair, down), right)
+    ops: list[str] = []
+    i, j = n, m
+    layers = {"pair": pair, "down": down, "right": right}
+    at = max(layers, key=lambda k: layers[k][n, m]) if n or m else "pair"
+    while i or j:
+        if at == "pair":
+            ops.append("match" if score[i - 1, j - 1] > 0 else "mismatch")
+            i, j = i - 1, j - 1
+            at = max(layers, key=lambda k: layers[k][i, j])
+        elif at == "down":
+            ops.append("insertion")
+            here, i = down[i, j], i - 1
+            at = "down" if i and abs(down[i, j] + gap_extend - here) < 1e-9 and down[i, j] > low / 2 else max(("pair", "right"), key=lambda k: layers[k][i, j])
+        else:
+            ops.append("deletion")
+            here, j = right[i, j], j - 1
+            at = "right" if j and abs(right[i, j] + gap_extend - here) < 1e-9 and right[i, j] > low / 2 else max(("pair", "down"), key=lambda k: layers[k][i, j])
+    return float(best[n, m]), ops[::-1], best
+
+
+def coarse(a: Sequence, b: Sequence, hit: float = 1.0, miss: float = -1.0) -> np.ndarray:
+    """Scores of all pairs: hit where equal, miss elsewhere."""
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b)))
+    return np.where(np.array(a, object)[:, None] == np.array(b, object)[None, :], hit, miss).astype(float)
+
+
+def fine(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """2 * similarity - 1 of all pairs of signatures, from kind, actor, tool and outcome."""
+    parts = lambda s: (s.split("|")[0].split(":") + [""] * 4)[:4]
+    x, y = np.array([parts(s or "") for s in a], object).reshape(-1, 4), np.array([parts(s or "") for s in b], object).reshape(-1, 4)
+    weight = np.array([0.25, 0.15, 0.25, 0.15]) / 0.80
+    same = x[:, None, :] == y[None, :, :]
+    return 2 * (same * weight).sum(2) - 1
+
+
+class Profile:
+    """Column and transition counts of a pool of reference runs, aligned to the run that is closest to all others."""
+
+    def __init__(self, runs: list[list[str]]):
+        totals = [sum(gotoh(coarse(a, b))[0] for k, b in enumerate(runs) if k != i) for i, a in enumerate(runs)]
+        self.center = runs[int(np.argmax(totals))]
+        self.columns = [Counter() for _ in self.center]
+        for r in runs:
+            i = j = 0
+            for op in gotoh(coarse(self.center, r))[1]:
+                if op in ("match", "mismatch"):
+                    self.columns[i][r[j]] += 1
+                    i, j = i + 1, j + 1
+                elif op == "insertion":
+                    self.columns[i][None] += 1
+                    i += 1
+                else:
+                    j += 1
+        self.pairs = Counter((p, s) for r in runs for p, s in zip([None, *r], r, strict=False))
+        self.before = Counter(p for r in runs for p in [None, *r][: len(r)])
+        self.vocabulary = {s for r in runs for s in r}
+
+    def transition(self, prev: str | None, s: str) -> float:
+        return -math.log((self.pairs[(prev, s)] + 0.5) / (self.before[prev] + 0.5 * len(self.vocabulary | {s})))
+
+    def column(self, i: int, s: str) -> float:
+        c = self.columns[i]
+        return -math.log((c[s] + 0.5) / (sum(c.values()) + 0.5 * len(self.vocabulary | {s})))
+
+
+def contrast(run: list[str], pool: list[list[str]]) -> list[tuple[int, float, str]]:
+    """(step, score, operation) of the steps where a run leaves its references, best first, TOP at most.
+
+    Nothing for an empty run or fewer than LEAST_REFERENCES non-empty references.
+    """
+    pool = [r for r in pool if r]
+    if not run or len(pool) < LEAST_REFERENCES:
+        return []
+    profile = Profile(pool)
+    n = len(run)
+    rest = np.full(n + 1, -1e18)
+    for r in pool:
+        best = gotoh(fine(run[::-1], r[::-1]))[2]
+        rest = np.maximum(rest, best.max(1)[::-1])
+    rate = rest / np.maximum(1, n - np.arange(n + 1))
+    cliff = np.maximum(0.0, rest[1:] - rest[:-1])
+    trans = np.array([profile.transition(p, s) for p, s in zip([None, *run], run, strict=False)])
+    ops, column = [], np.full(n, NO_COLUMN)
+    i = j = 0
+    for op in gotoh(coarse(run, profile.center))[1]:
+        if op == "deletion":
+            j += 1
+            continue
+        ops.append(op)
+        if op != "insertion":
+            column[i] = profile.column(j, run[i])
+            j += 1
+        i += 1
+    scale = lambda v: np.zeros(n) if np.ptp(v) < 1e-9 else (v - v.min()) / np.ptp(v)
+    score = WEIGHTS["cliff"] * scale(cliff) + WEIGHTS["transition"] * scale(trans) + WEIGHTS["profile"] * scale(column) + WEIGHTS["earliness"] * np.arange(n) / n
+    top = rate[:n].max()
+    eligible = [k for k in range(n) if top <= 0 or rate[k] < GATE * top]
+    kept: list[list] = []
+    for k in eligible:
+        if kept and k == kept[-1][2] + 1 and abs(score[k] - score[kept[-1][2]]) <= PLATEAU:
+            kept[-1][1], kept[-1][2] = max(kept[-1][1], score[k]), k
+        else:
+            kept.append([k, score[k], k])
+    return [(k, round(float(s), 6), ops[k]) for k, s, _ in sorted(kept, key=lambda x: (-x[1], x[0]))[:TOP]]
+
+
+def sequences(steps: DataFrame) -> DataFrame:
+    """trace_id and its signatures in order. One run is one row: runs are compared whole."""
+    return steps.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step_index", F.coalesce("signature", F.lit("")).alias("s")))), lambda x: x["s"]).alias("run"))
+
+
+def contrast_all(steps: DataFrame, traces: DataFrame, references: int = MOST_REFERENCES) -> DataFrame:
+    """trace_id, step_index, score, operation of every failed trace against up to ``references`` successful runs of the same agent.
+
+    The pool is a feature of the comparison (the runs that come first by hash), so it is bounded for every agent, however
+    many runs one has.
+    """
+    runs = sequences(steps)
+    known = runs.join(traces.select(F.col("trace_id").alias("t"), "outcome", "agent_key"), F.col("trace_id") == F.col("t")).where("agent_key is not null").select("trace_id", "run", "outcome", "agent_key")
+    first = Window.partitionBy("agent_key").orderBy(F.xxhash64("trace_id"), "trace_id")
+    pool = known.where("outcome = 'success'").withColumn("k", F.row_number().over(first)).where(F.col("k") <= references).groupBy(F.col("agent_key").alias("pool_key")).agg(F.collect_list("run").alias("pool"))
+    pairs = known.where("outcome = 'failure'").join(pool, F.col("agent_key") == F.col("pool_key")).select("trace_id", "run", "pool")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(t, *c) for t, r, p in zip(*(c.to_pylist() for c in b.columns), strict=True) for c in contrast(r, p)]
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.string())], names=["trace_id", "step_index", "score", "operation"])
+
+    return pairs.mapInArrow(run, "trace_id string, step_index int, score double, operation string")

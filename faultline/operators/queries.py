@@ -100,4 +100,18 @@ def p5_circles(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_zone_estimates, p3_found, p3_table, p3_failed_casts, p4_found, p4_spans, p4_messages, p4_parts, p5_found, p5_paths, p5_descendants, p5_circles)}
 
 #: Equivalent SQL where SQL can say it.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """
+with recursive own as (select 'spans' source_kind, lower(trim(trace_id)) trace_id, lower(trim(span_id)) id, case when coalesce(trim(parent_span_id), '') <> '' then lower(trim(parent_span_id)) end parent from spans),
+bodies as (select json(ltrim(body, chr(65279))) j from raw_records where layout = 'trail' and json_valid(ltrim(body, chr(65279)))),
+lists as (select case json_type(j, '$.spans') when 'ARRAY' then json_extract(j, '$.spans[*]') when 'OBJECT' then [json_extract(j, '$.spans')] else [] end l from bodies),
+tree(node, inside) as (select unnest(l), cast(null as varchar) from lists
+ union all select unnest(case json_type(node, '$.child_spans') when 'ARRAY' then json_extract(node, '$.child_spans[*]') when 'OBJECT' then [json_extract(node, '$.child_spans')] else [] end), coalesce(json_extract_string(node, '$.span_id'), inside) from tree),
+trail as (select 'trail' source_kind, lower(trim(json_extract_string(node, '$.trace_id'))) trace_id, lower(trim(json_extract_string(node, '$.span_id'))) id,
+ coalesce(case when coalesce(trim(json_extract_string(node, '$.parent_span_id')), '') <> '' then lower(trim(json_extract_string(node, '$.parent_span_id'))) end, lower(inside)) parent from tree where json_type(node) = 'OBJECT'),
+nodes as (select source_kind, trace_id, id, min(parent) parent from (select * from own union all select * from trail) where id is not null group by all),
+up as (select n.*, p.id up from nodes n left join nodes p on n.source_kind = p.source_kind and n.trace_id = p.trace_id and n.parent = p.id),
+walk as (select source_kind, trace_id, id, id root, 0 depth from up where up is null
+ union all select c.source_kind, c.trace_id, c.id, w.root, w.depth + 1 from up c join walk w on c.source_kind = w.source_kind and c.trace_id = w.trace_id and c.up = w.id)
+select n.source_kind, n.trace_id, n.id span_id, coalesce(w.root, '') root_span_id, coalesce(w.depth, -1) depth from nodes n left join walk w using (source_kind, trace_id, id)""",
+}

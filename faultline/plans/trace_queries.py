@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultline.operators import detectors, steps
-from faultline.plans import step_oracles
+from faultline.operators import adjudicate, align, detectors, linearize, steps
+from faultline.plans import relational, step_oracles
 from faultline.runtime import table
+from faultline.sources import otlp
+from faultline.streaming import signals as windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,3 +34,50 @@ def l1_signals(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {**{f"detector_{n}": _detector(n) for n in detectors.DETECTORS}, "l1_signals": l1_signals}
 SQL: dict[str, str] = {f"detector_{k}": v for k, v in step_oracles.SQL.items()}
+
+
+def _plan(plan: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return relational.run(spark, d, plan)
+
+    return run
+
+
+QUERIES |= {k: _plan(v) for k, v in relational.PLANS.items()}
+SQL |= {k: relational.duck(v) for k, v in relational.PLANS.items()}
+
+
+def contrast_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Where every failed run leaves the successful runs of its agent."""
+    return align.contrast_all(steps.distinct_steps(table(spark, d, "steps")), steps.latest_traces(table(spark, d, "traces")))
+
+
+def linearized_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps out of the span trees."""
+    return linearize.linearize(table(spark, d, "spans"))
+
+
+def otlp_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Raw spans of the OpenTelemetry bodies."""
+    return otlp.decode(table(spark, d, "raw_records").where("layout = 'openinference'"), "body", "record_id")
+
+
+def failing_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's window counts, over the whole table at once."""
+    return windows.failing_by_window(table(spark, d, "spans").select("trace_id", "span_id", "kind", "status", "start_ns"))
+
+
+def adjudicate_stub(spark: SparkSession, d: str) -> DataFrame:
+    """Every ranked candidate judged by a fixed stand-in for the model."""
+    ranked = relational.run(spark, d, relational.PLANS["rank_candidates"])
+    prompts = ranked.select(F.concat_ws(":", "diagnosis_id", F.col("step_index").cast("string")).alias("key"), F.concat_ws(" ", F.lit("candidate"), "source", F.col("prior").cast("string")).alias("prompt"))
+    return adjudicate.adjudicate(prompts, _stub, parallel=8).select("key", "is_root_cause", "confidence", "error")
+
+
+def _stub(prompt: str) -> str:
+    prior = float(prompt.split()[-1])
+    return '```json\n{"is_root_cause": %s, "failure_class": "unknown", "confidence": %.4f}\n```' % (str(prior > 0.5).lower(), min(1.0, max(0.0, prior)))
+
+
+QUERIES |= {f.__name__: f for f in (contrast_runs, linearized_steps, otlp_spans, failing_windows, adjudicate_stub)}
+SQL["failing_windows"] = "with s as (select trace_id, span_id, min(kind) kind, min(status) status, min(start_ns) start_ns from spans group by 1, 2) select start_ns // 1000 // 600000000 * 600000000 window_start_us, kind, count(*) spans, count(case when status = 'error' then 1 end) failing from s group by 1, 2"
