@@ -97,3 +97,32 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_collapsed, p6_found, p6_clusters, p7_found, p7_neighbours, p8_found, p8_leaks, p9_found, p9_report, p9_documents, p10_found, p10_clean)}
+
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s), '\|.*$', ''), '\([^)]*\)|\[[^\]]*\]', '', 'g'), '[#~]\s*[0-9]+', '', 'g'), '\s*(->|::|[:/>])\s*', ':', 'g'), '[\s_.-]+', '', 'g'), '(^|:)w[0-9]+(:|$)', '\1w\2')"
+_RUNS = f"""
+with a as (select 'steps' k, trace_id q, step_index i, signature s, start_ns b, end_ns f from steps union all select 'divergences', diagnosis_id, step_index, observed_signature, null, null from divergences),
+d as (select k, q, i, min(struct_pack(n := n, b := b, f := f)) r from (select k, q, i, {_NORMAL} n, b, f from a where i is not null) z group by k, q, i),
+e as (select k, q, i, r.n n, r.b b, r.f f, case when lag(r.n) over w = r.n then 0 else 1 end fresh from d window w as (partition by k, q order by i)),
+g as (select *, sum(fresh) over (partition by k, q order by i) run from e),
+h as (select k, q, min(i) i, count(*) c, min(n) n, min_by(b, i) b, max_by(f, i) f from g group by k, q, run)
+"""
+#: Equivalent SQL where SQL can say it over whole tables.
+SQL: dict[str, str] = {
+    "p1_found": _RUNS + "select k sequence_kind, q sequence_id, i start_step_index, cast(c as integer) run_length from h where c >= 2",
+    "p1_collapsed": _RUNS + "select k sequence_kind, q sequence_id, i start_step_index, cast(c as integer) run_length, n signature, b start_ns, f end_ns, f - b duration_ns from h",
+    "p7_found": """
+with v as (select trace_id, task_embedding::double[] e from (select *, row_number() over (partition by trace_id order by ingested_at desc nulls last) rn from traces) z where rn = 1 and len(task_embedding) = 384),
+u as (select * from v where list_sum(list_transform(e, lambda x: case when isfinite(x) then 0 else 1 end)) = 0 and list_sum(list_transform(e, lambda x: abs(x))) > 0),
+s as (select a.trace_id a, b.trace_id b, list_cosine_similarity(a.e, b.e) c from u a join u b on a.trace_id <> b.trace_id),
+r as (select *, row_number() over (partition by a order by c desc, b) k from s)
+select distinct least(a, b) trace_id_a, greatest(a, b) trace_id_b from r where k <= 5 and c >= 0.8""",
+    "p6_found": """
+with recursive v as (select diagnosis_id id, card_embedding::double[] e from (select *, row_number() over (partition by diagnosis_id order by created_at desc nulls last) rn from diagnoses) z where rn = 1 and len(card_embedding) = 384),
+u as (select * from v where list_sum(list_transform(e, lambda x: case when isfinite(x) then 0 else 1 end)) = 0 and list_sum(list_transform(e, lambda x: abs(x))) > 0),
+s as materialized (select a.id a, b.id b, list_cosine_similarity(a.e, b.e) c from u a join u b on true),
+reach(a, b) as (select a, b from s where c >= 0.7 union select r.a, s.b from reach r join s on r.b = s.a where s.c >= 0.7),
+m as (select a id, min(b) label, count(*) n from reach group by a having count(*) >= 5),
+t as (select x.id, x.label, avg(s.c) mean from m x join m y on x.label = y.label join s on s.a = x.id and s.b = y.id group by 1, 2),
+w as (select label, id, row_number() over (partition by label order by round(mean, 12) desc, id) k from t)
+select m.id diagnosis_id, w.id medoid_diagnosis_id from m join w on m.label = w.label and w.k = 1""",
+}
