@@ -97,6 +97,8 @@ def passages_of(text: str | None) -> list[str]:
         for part in parts:
             if _CODE_LINE.match(part) and not _SURE.search(part.split("=")[0]):
                 continue
+            while (m := _SPEAKER.match(part)) and m.end() < len(part):
+                part = part[m.end() :]
             part = _TICKS.sub(" code ", part)
             for s in _SPLIT.split(part):
                 s = " ".join(s.split())
