@@ -35,6 +35,8 @@ TEMPER = 0.4
 #: A stretch of at least so many words with so much evidence is residue whatever follows it in the same passage.
 STRETCH_WORDS, STRETCH_ODDS = 4, 8.0
 SMOOTHING = 0.05
+#: A trusted passage of at most so many words is residue as a whole.
+SHORT = 9
 
 # The project's own masks, which are no slots.
 MASKS = ("<ID>", "<DATE>", "<UUID>")
@@ -214,7 +216,7 @@ def _totals(passages: DataFrame, model: Model | None) -> tuple[np.ndarray, np.nd
                     r = 0.0
                 else:
                     r = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, m.score(words, pairs)))))
-                if m is not None and trusted < 2 and r > 0.01:
+                if m is not None and trusted < 2 and r > 0.01 and not (trusted and len(words) <= SHORT):
                     # residue may share its passage with ordinary words: only its best stretch is positive
                     s, e = best_stretch(m.odds[words])
                     own = np.unique(np.r_[words[s:e], pairs[s : max(s, e - 1)]])
