@@ -7,6 +7,7 @@ reference runs of its agent, and every row is independent of all others.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.runtime import cut, parallelism
+
 #: Alignment and scoring constants (fixed values).
 GAP_OPEN, GAP_EXTEND = -1.0, -0.2
 LEAST_REFERENCES, MOST_REFERENCES, GATE, PLATEAU, TOP = 3, 25, 0.85, 0.05, 5
@@ -85,6 +88,7 @@ class Profile:
     """Column and transition counts of a pool of reference runs, aligned to the run that is closest to all others."""
 
     def __init__(self, runs: list[list[str]]):
+        self.runs = runs
         totals = [sum(gotoh(coarse(a, b))[0] for k, b in enumerate(runs) if k != i) for i, a in enumerate(runs)]
         self.center = runs[int(np.argmax(totals))]
         self.columns = [Counter() for _ in self.center]
@@ -111,15 +115,15 @@ class Profile:
         return -math.log((c[s] + 0.5) / (sum(c.values()) + 0.5 * len(self.vocabulary | {s})))
 
 
-def contrast(run: list[str], pool: list[list[str]]) -> list[tuple[int, float, str]]:
+def contrast(run: list[str], pool: list[list[str]], profile: Profile | None = None) -> list[tuple[int, float, str]]:
     """(step, score, operation) of the steps where a run leaves its references, best first, TOP at most.
 
-    Nothing for an empty run or fewer than LEAST_REFERENCES non-empty references.
+    Nothing for an empty run or fewer than LEAST_REFERENCES non-empty references. profile: that of the pool, if it is known.
     """
     pool = [r for r in pool if r]
     if not run or len(pool) < LEAST_REFERENCES:
         return []
-    profile = Profile(pool)
+    profile = profile or Profile(pool)
     n = len(run)
     rest = np.full(n + 1, -1e18)
     for r in pool:
@@ -167,12 +171,26 @@ def contrast_all(steps: DataFrame, traces: DataFrame, references: int = MOST_REF
     known = runs.join(traces.select(F.col("trace_id").alias("t"), "outcome", "agent_key"), F.col("trace_id") == F.col("t")).where("agent_key is not null").select("trace_id", "run", "outcome", "agent_key")
     first = Window.partitionBy("agent_key").orderBy(F.xxhash64("trace_id"), "trace_id")
     pool = known.where("outcome = 'success'").withColumn("k", F.row_number().over(first)).where(F.col("k") <= references).groupBy(F.col("agent_key").alias("pool_key")).agg(F.collect_list("run").alias("pool"))
-    pairs = known.where("outcome = 'failure'").join(pool, F.col("agent_key") == F.col("pool_key")).select("trace_id", "run", "pool")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pools = [[r for r in p if r] for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pickle.dumps(Profile(p)) if len(p) >= LEAST_REFERENCES else None for p in pools], pa.binary())], names=["pool_key", "profile"])
+
+    # one profile for each pool, however many runs are compared with it
+    profiles = cut(pool.repartition(parallelism(steps)).mapInArrow(build, "pool_key string, profile binary"))
+    pairs = known.where("outcome = 'failure'").join(profiles, F.col("agent_key") == F.col("pool_key")).where("profile is not null").select("trace_id", "run", "agent_key", "profile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, Profile] | None = None
         for b in batches:
-            rows = [(t, *c) for t, r, p in zip(*(c.to_pylist() for c in b.columns), strict=True) for c in contrast(r, p)]
+            rows = []
+            for t, r, key, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held is None or held[0] != key:
+                    held = key, pickle.loads(blob)
+                rows.extend((t, *c) for c in contrast(r, held[1].runs, held[1]))
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.string())], names=["trace_id", "step_index", "score", "operation"])
 
-    return pairs.mapInArrow(run, "trace_id string, step_index int, score double, operation string")
+    # runs are spread evenly whatever agent they belong to
+    return pairs.repartition(parallelism(steps)).mapInArrow(run, "trace_id string, step_index int, score double, operation string")
