@@ -89,9 +89,17 @@ def changes(lines: DataFrame, stats: DataFrame | None = None) -> DataFrame:
         .agg(F.count(F.when(F.col("old_value") == F.col("new_value"), 1)).alias("same"), F.count(F.when(F.col("old_value") != F.col("new_value"), 1)).alias("other"))
     )
     # whole-file evidence: the share of values in common and how far apart the numbers lie
-    summary = lambda df, p: df.groupBy(*FILE, F.col("path").alias(f"{p}_field")).agg(F.collect_set(F.when(F.col("value").try_cast("double").isNull(), F.substring("value", 1, 64))).alias(f"{p}_set"), F.avg(F.col("value").try_cast("double")).alias(f"{p}_mean"))
-    scored = pairs.join(shared, [*FILE, "old_field", "new_field"], "left").join(summary(old_values, "old"), [*FILE, "old_field"], "left").join(summary(new_values, "new"), [*FILE, "new_field"], "left")
-    common = F.size(F.array_intersect("old_set", "new_set")) / F.greatest(F.lit(1), F.least(F.size("old_set"), F.size("new_set")))
+    # (counted by value, so that no field's values ever meet in one task)
+    is_text = F.col("value").try_cast("double").isNull()
+    texts = lambda df, p: df.where(is_text).select(*FILE, F.col("path").alias(f"{p}_field"), "value").distinct()
+    old_texts, new_texts = texts(old_values, "old"), texts(new_values, "new")
+    in_common = old_texts.join(new_texts, [*FILE, "value"]).groupBy(*FILE, "old_field", "new_field").agg(F.count("*").alias("n_common"))
+    summary = lambda df, p: df.groupBy(*FILE, F.col("path").alias(f"{p}_field")).agg(F.avg(F.col("value").try_cast("double")).alias(f"{p}_mean"))
+    kinds = lambda df, p: df.groupBy(*FILE, f"{p}_field").agg(F.count("*").alias(f"{p}_texts"))
+    scored = pairs.join(shared, [*FILE, "old_field", "new_field"], "left").join(in_common, [*FILE, "old_field", "new_field"], "left")
+    for df, p, t in ((old_values, "old", old_texts), (new_values, "new", new_texts)):
+        scored = scored.join(summary(df, p), [*FILE, f"{p}_field"], "left").join(kinds(t, p), [*FILE, f"{p}_field"], "left")
+    common = F.coalesce("n_common", F.lit(0)) / F.greatest(F.lit(1), F.least("old_texts", "new_texts"))
     near = F.least(F.abs("old_mean"), F.abs("new_mean")) / F.greatest(F.abs("old_mean"), F.abs("new_mean"), F.lit(1e-9))
     names = F.size(F.array_intersect(_words(F.col("old_field")), _words(F.col("new_field"))))
     # a name within the other's last step ('temp' in 'temperature') counts as a word in common

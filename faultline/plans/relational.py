@@ -110,7 +110,6 @@ PLANS: dict[str, str] = {
     "needs_relabel": f"with {DIAG}, m as (select cluster_id, count(*) n from dg where cluster_id is not null group by cluster_id) select c.cluster_id, coalesce(m.n, 0) size_now, c.label is null or c.labeled_size is null or coalesce(m.n, 0) > cast(1.5 as double) * c.labeled_size needs_relabel from clusters c left join m on c.cluster_id = m.cluster_id",
     "cluster_label_states": "select cluster_id, label, medoid_diagnosis_id, labeled_size from clusters where label is not null",
     "cluster_classes": f"with {DIAG}, h as (select cluster_id, failure_class, count(*) n from dg where cluster_id is not null group by cluster_id, failure_class) select cluster_id, failure_class, n, row_number() over (partition by cluster_id order by n desc, failure_class nulls last) k from h",
-    "knn_embeddings": "with q as (select vec_id, embedding from embeddings where vec_id % 50 = 0), s as (select q.vec_id, e.vec_id other, |cosine q.embedding ~ e.embedding| c from q join embeddings e on q.vec_id <> e.vec_id), r as (select *, row_number() over (partition by vec_id order by c desc, other) k from s) select vec_id, k rank_of_neighbour, round(c, 5) cosine from r where k <= 5",
     # evaluation
     "score_report": f"with {DIAG}, {DIV}, t as (select diagnosis_id, step_index truth from (select *, row_number() over (partition by diagnosis_id order by score desc, step_index) k from dv) q where k = 1), r as (select dg.abstained, dg.root_cause_step_index p, t.truth from dg join t on dg.diagnosis_id = t.diagnosis_id) select count(*) n, sum(case when abstained then 1 else 0 end) abstained, round(avg(case when not abstained and p = truth then cast(1 as double) else 0 end), 6) exact, round(avg(case when not abstained and abs(p - truth) <= 1 then cast(1 as double) else 0 end), 6) within_1, round(avg(case when not abstained and abs(p - truth) <= 3 then cast(1 as double) else 0 end), 6) within_3, round(avg(case when not abstained then cast(p - truth as double) end), 6) earliness_error from r",
     "confusion_matrix": f"with {DIAG}, {STEPS}, {SPANS}, {L1}, g as (select trace_id, min(category) category from l1 group by trace_id) select dg.failure_class predicted, g.category evidenced, count(*) n from dg join g on dg.trace_id = g.trace_id where dg.failure_class is not null group by dg.failure_class, g.category",
@@ -118,6 +117,15 @@ PLANS: dict[str, str] = {
     "recall_at_k": f"with {STEPS}, {SPANS}, {DIAG}, {DIV}, {L1}, {CAND}, h as (select dg.diagnosis_id, min(case when rk.step_index = dg.root_cause_step_index then rk.rnk end) hit from dg join rk on dg.diagnosis_id = rk.diagnosis_id where dg.root_cause_step_index is not null group by dg.diagnosis_id) select count(*) n, round(avg(case when hit <= 1 then cast(1 as double) else 0 end), 6) recall_1, round(avg(case when hit <= 3 then cast(1 as double) else 0 end), 6) recall_3, round(avg(case when hit <= 5 then cast(1 as double) else 0 end), 6) recall_5 from h",
     "source_precision": f"with {STEPS}, {SPANS}, {DIAG}, {DIV}, {L1}, {CAND} select rk.source, count(*) candidates, sum(case when rk.step_index = dg.root_cause_step_index then 1 else 0 end) hits from rk join dg on rk.diagnosis_id = dg.diagnosis_id where rk.rnk <= 5 group by rk.source",
     "leave_one_out": f"with {STEPS}, {SPANS}, {DIAG}, {L1}, d as (select distinct detector left_out from l1), k as (select d.left_out, l1.trace_id, l1.step_index, max(l1.severity) sev from l1 join d on l1.detector <> d.left_out group by d.left_out, l1.trace_id, l1.step_index) select k.left_out, count(*) flagged, sum(case when k.step_index = dg.root_cause_step_index then 1 else 0 end) hits from k join dg on k.trace_id = dg.trace_id group by k.left_out",
+    "ablation_delta": f"with {STEPS}, {SPANS}, {DIAG}, {DIV}, {L1}, {CAND}, a as (select avg(case when rk.step_index = dg.root_cause_step_index then cast(1 as double) else 0 end) hit from rk join dg on rk.diagnosis_id = dg.diagnosis_id where rk.rnk = 1), l as (select diagnosis_id, step_index, row_number() over (partition by diagnosis_id order by sev desc, step_index) r from ev), b as (select avg(case when l.step_index = dg.root_cause_step_index then cast(1 as double) else 0 end) hit from l join dg on l.diagnosis_id = dg.diagnosis_id where l.r = 1) select round(a.hit, 6) with_layer, round(b.hit, 6) without_layer, round(a.hit - b.hit, 6) delta from a cross join b",
+    "read_trace": f"with {SPANS} select trace_id, span_id, parent_span_id, kind, status, start_ns from sp",
+    "infer_kind": f"with {SPANS}, r as (select span_id, trace_id, kind, |json payload ~ tool_name| tool, |json payload ~ model| model, |json payload ~ query| query, |json payload ~ agent_name| agent from sp where payload is not null) select kind, case when tool is not null then 'tool' when model is not null then 'llm' when query is not null then 'retriever' when agent is not null then 'agent' else 'unknown' end inferred, count(*) n from r group by 1, 2",
+    "token_usage": f"with {SPANS}, r as (select |json payload ~ model| model, cast(|json payload ~ total_tokens| as bigint) t, cast(|json payload ~ max_tokens| as bigint) m from sp where kind = 'llm' and payload is not null) select model, count(*) calls, cast(sum(t) as bigint) total_tokens, max(t) largest, sum(case when m > 0 and t >= cast(0.9 as double) * m then 1 else 0 end) near_limit from r group by model",
+    "detector_overlap": f"with {STEPS}, {SPANS}, {L1}, s as (select distinct trace_id, detector from l1) select a.detector, b.detector other, count(*) traces from s a join s b on a.trace_id = b.trace_id and a.detector < b.detector group by a.detector, b.detector",
+    "vocabulary_counts": "select vocabulary, count(*) spans, count(payload) with_payload, count(normalize_error) failed from spans group by vocabulary",
+    "error_rate_by_actor": f"with {STEPS}, {SPANS} select st.actor, count(*) tool_steps, sum(case when sp.status = 'error' then 1 else 0 end) errors from st join sp on st.trace_id = sp.trace_id and st.span_id = sp.span_id where st.kind = 'tool' group by st.actor",
+    "degraded_layers": "select failure_class, abstained, count(*) n, count(error) errors from diagnoses group by failure_class, abstained",
+    "alignment_ops": f"with {DIV} select alignment_op, count(*) n, round(avg(score), 6) mean_score from dv group by alignment_op",
     # texts
     "token_sets": "with a as (select doc_id, |words text| w from documents where text is not null) select doc_id, |size w| distinct_words from a",
     "mask_ids": "select doc_id, sha1(|sub text ~ [0-9A-Za-z_]*[0-9][0-9A-Za-z_]* ~ <ID>|) masked_sha1 from documents where text is not null",

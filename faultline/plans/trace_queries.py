@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators import adjudicate, align, detectors, linearize, steps
+from faultline.operators import adjudicate, align, context, density, detectors, linearize, ranking, steps
 from faultline.plans import relational, step_oracles
 from faultline.runtime import table
 from faultline.sources import otlp
@@ -81,3 +83,43 @@ def _stub(prompt: str) -> str:
 
 QUERIES |= {f.__name__: f for f in (contrast_runs, linearized_steps, otlp_spans, failing_windows, adjudicate_stub)}
 SQL["failing_windows"] = "with s as (select trace_id, span_id, min(kind) kind, min(status) status, min(start_ns) start_ns from spans group by 1, 2) select start_ns // 1000 // 600000000 * 600000000 window_start_us, kind, count(*) spans, count(case when status = 'error' then 1 end) failing from s group by 1, 2"
+
+
+def context_packets(spark: SparkSession, d: str) -> DataFrame:
+    """Size of the packet of every ranked candidate."""
+    ranked = relational.run(spark, d, relational.PLANS["rank_candidates"])
+    traces = table(spark, d, "diagnoses").groupBy("diagnosis_id").agg(F.max("trace_id").alias("trace_id"))
+    keyed = ranked.join(traces, "diagnosis_id").select(F.concat_ws(":", "diagnosis_id", F.col("step_index").cast("string")).alias("key"), "trace_id", "step_index")
+    made = context.packets(keyed, steps.distinct_steps(table(spark, d, "steps")), steps.latest_traces(table(spark, d, "traces")))
+    return made.select("key", F.size("visible").alias("visible_steps"), "tokens")
+
+
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Density clusters of the labelled vectors, each label a bounded set of its own."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        ids = t.column("vec_id").to_pylist()
+        order = np.argsort(ids)
+        labels = density.hdbscan(np.array(t.column("embedding").to_pylist(), float)[order], 5)
+        return pa.table({"label": pa.array([key[0].as_py()] * len(ids), pa.int32()), "vec_id": pa.array([ids[i] for i in order], pa.int64()), "cluster": pa.array(labels, pa.int32())})
+
+    return table(spark, d, "embeddings").select(F.col("label").cast("int").alias("label"), "vec_id", "embedding").groupBy("label").applyInArrow(run, "label int, vec_id long, cluster int")
+
+
+QUERIES |= {f.__name__: f for f in (context_packets, density_clusters)}
+
+
+def even_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred traces, evenly spread over their sorted ids."""
+    ids = table(spark, d, "traces").select("trace_id").where("trace_id is not null").distinct()
+    return ranking.even_sample(ids, "trace_id", 100).select("trace_id", F.col("position").cast("bigint").alias("i"))
+
+
+def knn_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar vectors of every vector whose id is divisible by 50."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return ranking.nearest_of(v.where("id % 50 = 0"), v, 5).select(F.col("id").alias("vec_id"), F.col("rank").alias("rank_of_neighbour"), F.round("cosine", 5).alias("cosine"))
+
+
+QUERIES |= {f.__name__: f for f in (even_sample, knn_embeddings)}
+SQL["even_sample"] = "with o as (select trace_id, row_number() over (order by trace_id) - 1 i, count(*) over () n from (select distinct trace_id from traces where trace_id is not null)) select trace_id, i from o where exists (select 1 from range(100) k(k) where o.i = k.k * o.n // 100)"
+SQL["knn_embeddings"] = "with s as (select q.vec_id, e.vec_id other, list_cosine_similarity(q.embedding::double[], e.embedding::double[]) c from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 50 = 0), r as (select *, row_number() over (partition by vec_id order by c desc, other) k from s) select vec_id, k rank_of_neighbour, round(c, 5) cosine from r where k <= 5"
