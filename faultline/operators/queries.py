@@ -115,3 +115,22 @@ walk as (select source_kind, trace_id, id, id root, 0 depth from up where up is
  union all select c.source_kind, c.trace_id, c.id, w.root, w.depth + 1 from up c join walk w on c.source_kind = w.source_kind and c.trace_id = w.trace_id and c.up = w.id)
 select n.source_kind, n.trace_id, n.id span_id, coalesce(w.root, '') root_span_id, coalesce(w.depth, -1) depth from nodes n left join walk w using (source_kind, trace_id, id)""",
 }
+
+_WALK = SQL["p5_found"]
+SQL["p5_circles"] = f"select source_kind, trace_id, count(*) spans_on_or_below_circles from ({_WALK}) where depth < 0 group by all"
+_CHILDREN = "unnest(case json_type({0}, '$.{1}') when 'ARRAY' then json_extract({0}, '$.{1}[*]') when 'OBJECT' then [json_extract({0}, '$.{1}')] else [] end)"
+_PLACES = "unnest(range(cast(case json_type({0}, '$.{1}') when 'ARRAY' then json_array_length({0}, '$.{1}') when 'OBJECT' then 1 else 0 end as bigint)))"
+SQL["p4_found"] = f"""
+with recursive bodies as (select record_id, layout, json(ltrim(body, chr(65279))) j from raw_records where json_valid(ltrim(body, chr(65279)))),
+r as (select record_id, {_CHILDREN.format('j', 'resourceSpans')} n, {_PLACES.format('j', 'resourceSpans')} a from bodies where layout = 'openinference'),
+s as (select record_id, a, {_CHILDREN.format('n', 'scopeSpans')} n, {_PLACES.format('n', 'scopeSpans')} b from r),
+o as (select record_id, a, b, {_CHILDREN.format('n', 'spans')} n from s),
+tree(record_id, node, inside) as (select record_id, {_CHILDREN.format('j', 'spans')}, '' from bodies where layout = 'trail'
+ union all select record_id, {_CHILDREN.format('node', 'child_spans')}, coalesce(json_extract_string(node, '$.span_id'), inside) from tree),
+u as (select record_id, {_CHILDREN.format('j', 'spans')} n from bodies where layout = 'raw_upload'),
+m as (select record_id, coalesce(json_extract_string(n, '$.span_id'), '') p, {_CHILDREN.format('n', 'attributes.request_messages')} n, {_PLACES.format('n', 'attributes.request_messages')} i from u),
+c as (select record_id, p, i, {_CHILDREN.format('n', 'content')} n, {_PLACES.format('n', 'content')} k from m where json_type(n) = 'OBJECT')
+select record_id, 'span' child_kind, concat(a, '/', b) parent_key, json_extract_string(n, '$.spanId') child_key from o where json_extract_string(n, '$.spanId') is not null
+union all select record_id, 'child_span', inside, json_extract_string(node, '$.span_id') from tree where json_extract_string(node, '$.span_id') is not null
+union all select record_id, 'message', p, cast(i as varchar) from m where json_type(n) <> 'NULL'
+union all select record_id, 'part', concat(p, '/', i), cast(k as varchar) from c where json_type(n) <> 'NULL'"""

@@ -69,3 +69,12 @@ SQL["unused_retrieval"] = BASE + f""", y as (select *, first_value(case when kin
  array_to_string(list_transform(json_extract_string(p, '$.documents[*].content_preview'), lambda c: coalesce(c, '')), ' ') doc from x),
 z as (select *, {_TERMS.format('doc')} d, {_TERMS.format('nxt')} a from y)
 """ + _signal("unused_retrieval", 0.45, "retrieval_miss") + " from z where kind = 'retriever' and json_array_length(p, '$.documents') > 0 and nxt is not null and len(d) > 0 and len(list_intersect(d, a)) < 0.15::double * len(d)"
+SQL["reasoning_turn_defect"] = BASE + _signal("reasoning_turn_defect", 0.65, "information_fabrication") + " from x where kind = 'agent' and regexp_matches(coalesce(json_extract_string(p, '$.output_text'), ''), '(?i)\\b(we can simulate|simulate the|simulated dataset|simulated data|let''s assume|lets assume|assume that|assuming that|make an assumption|an assumption|dummy data|mock data|placeholder values?|without verifying)\\b')"
+SQL["output_schema_violation"] = BASE + _signal("output_schema_violation", 0.6, "output_schema_violation") + " from x where kind = 'llm' and coalesce(json_extract_string(p, '$.response_format_schema'), '') <> '' and not coalesce(json_valid(json_extract_string(p, '$.response_messages[0].content')), false)"
+SQL["parameter_drift"] = BASE + """, said as (select trace_id, step_index, concat_ws(' ', result_text, json_extract_string(p, '$.output_text'), json_extract_string(p, '$.input_text'), json_extract_string(p, '$.query'), asked, array_to_string(list_transform(json_extract_string(p, '$.response_messages[*].content'), lambda c: coalesce(c, '')), ' '), arguments_json) t from x
+ union all select trace_id, -1, task_goal from x where step_index = 0),
+tok as (select trace_id, step_index, unnest(regexp_extract_all(lower(t), '[a-z0-9_./:\\-]{5,}')) token from said), fst as (select trace_id, token, min(step_index) f from tok group by all),
+us as (select trace_id, step_index, unnest(list_distinct(regexp_extract_all(lower(arguments_json), '[a-z0-9_./:\\-]{5,}'))) token from x where kind = 'tool')
+""" + _signal("parameter_drift", 0.7, "hallucinated_tool_or_parameter") + " from us join fst using (trace_id, token) where regexp_matches(token, '[a-z]') and regexp_matches(token, '[0-9]') and f >= step_index"
+#: All of them, in no order.
+ALL = " union all ".join(f"select * from ({q})" for q in SQL.values())

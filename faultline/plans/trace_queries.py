@@ -46,6 +46,7 @@ def _plan(plan: str) -> Query:
 
 
 QUERIES |= {k: _plan(v) for k, v in relational.PLANS.items()}
+SQL["l1_signals"] = step_oracles.ALL
 SQL |= {k: relational.duck(v) for k, v in relational.PLANS.items()}
 
 
