@@ -42,7 +42,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     """One row a cluster: its most typical member and size."""
-    return _clusters(spark, d).groupBy(F.col("medoid").alias("medoid_diagnosis_id")).agg(F.max("size").alias("labeled_size"), F.avg("centrality").alias("mean_cosine"))
+    return _clusters(spark, d).groupBy(F.col("medoid").alias("medoid_diagnosis_id")).agg(F.max("size").alias("labeled_size"), F.round(F.avg("centrality"), 6).alias("mean_cosine"))
 
 
 def _traces(spark: SparkSession, d: str) -> DataFrame:
@@ -126,3 +126,5 @@ t as (select x.id, x.label, avg(s.c) mean from m x join m y on x.label = y.label
 w as (select label, id, row_number() over (partition by label order by round(mean, 12) desc, id) k from t)
 select m.id diagnosis_id, w.id medoid_diagnosis_id from m join w on m.label = w.label and w.k = 1""",
 }
+_P6 = SQL["p6_found"].rpartition("select m.id diagnosis_id")[0]
+SQL["p6_clusters"] = _P6 + "select w.id medoid_diagnosis_id, max(m.n) labeled_size, round(avg(t.mean), 6) mean_cosine from m join w on m.label = w.label and w.k = 1 join t on t.id = m.id group by w.id"
