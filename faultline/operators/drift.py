@@ -71,17 +71,18 @@ def changes(lines: DataFrame, stats: DataFrame | None = None) -> DataFrame:
         .withColumn("what", F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("type_changed"))
     )
     first = files.groupBy("producer").agg(F.min("file_seq").alias("first_seq"))
-    changed = both.join(files, FILE, "left_semi").join(first, "producer").where("file_seq > first_seq").select(*FILE, "path", "what", F.coalesce("type", "old_type").alias("type"))
+    # what changed is few rows, read by all that follows
+    changed = cut(both.join(files, FILE, "left_semi").join(first, "producer").where("file_seq > first_seq").select(*FILE, "path", "what", F.coalesce("type", "old_type").alias("type")))
 
     # a file with a field gone and another come: their values in the records that both files deliver
     gone, come = changed.where("what = 'removed'"), changed.where("what = 'added'")
     pairs = gone.select(*FILE, F.col("path").alias("old_field"), F.col("type").alias("old_type")).join(come.select(*FILE, F.col("path").alias("new_field"), F.col("type").alias("new_type")), FILE)
     values = lines.where("span_id is not null").select(*FILE, "span_id", F.explode("fields").alias("path", "value")).where("value is not null")
     moved = changed.where("what <> 'type_changed'")
-    old_values = (
+    old_values = cut(
         values.withColumn("file_seq", F.col("file_seq") + 1).join(moved.where("what = 'removed'").select(*FILE, "path"), [*FILE, "path"], "left_semi").groupBy(*FILE, "path", "span_id").agg(F.min(_canonical(F.col("value"))).alias("value"))
     )
-    new_values = values.join(moved.where("what = 'added'").select(*FILE, "path"), [*FILE, "path"], "left_semi").groupBy(*FILE, "path", "span_id").agg(F.min(_canonical(F.col("value"))).alias("value"))
+    new_values = cut(values.join(moved.where("what = 'added'").select(*FILE, "path"), [*FILE, "path"], "left_semi").groupBy(*FILE, "path", "span_id").agg(F.min(_canonical(F.col("value"))).alias("value")))
     shared = (
         old_values.select(*FILE, "span_id", F.col("path").alias("old_field"), F.col("value").alias("old_value"))
         .join(new_values.select(*FILE, "span_id", F.col("path").alias("new_field"), F.col("value").alias("new_value")), [*FILE, "span_id"])
@@ -111,7 +112,7 @@ def changes(lines: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     score = F.when((same > 0) & (same > 3 * other), same + 1.0 + (names + inside.cast("int")) / 10).when(open_case, 0.2 + alike / 2 + (names + inside.cast("int")) / 10)
     ranked = scored.select(*FILE, "old_field", "new_field", score.alias("score")).where("score is not null")
     per = lambda c: F.row_number().over(Window.partitionBy(*FILE, c).orderBy(F.desc("score"), "old_field", "new_field"))
-    renamed = ranked.withColumn("r_old", per("old_field")).withColumn("r_new", per("new_field")).where("r_old = 1 and r_new = 1").select(*FILE, "old_field", "new_field")
+    renamed = cut(ranked.withColumn("r_old", per("old_field")).withColumn("r_new", per("new_field")).where("r_old = 1 and r_new = 1").select(*FILE, "old_field", "new_field"))
 
     gone_left = gone.select(*FILE, F.col("path").alias("old_field")).join(renamed, [*FILE, "old_field"], "left_anti")
     come_left = come.select(*FILE, F.col("path").alias("new_field")).join(renamed, [*FILE, "new_field"], "left_anti")
