@@ -11,7 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.runtime import table
+from faultline.operators import detectors, steps
+from faultline.runtime import cut, table
 
 _MARK = re.compile(r"\|(\w+) ([^|]*)\|")
 
@@ -40,12 +41,19 @@ TABLES = ["traces", "spans", "steps", "diagnoses", "divergences", "clusters", "d
 
 
 def run(spark: SparkSession, sf_dir: str, plan: str) -> DataFrame:
-    """The plan over the tables of a folder."""
-    text = _MARK.sub(_spark, plan)
+    """The plan over the tables of a folder. Where it reads l1, the signals of all detectors take the place of L1."""
+    text = _MARK.sub(_spark, plan.replace(L1, "l1 as (select * from {signals})"))
     used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", text)}
+    if L1 in plan:
+        used["signals"] = l1(spark, sf_dir)
     return spark.sql(re.sub(r"(\bfrom|\bjoin) (" + "|".join(TABLES) + r")\b", r"\1 {\2}", text), **used)
 
 
+def l1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals of all detectors, written once, as plans read them more than once."""
+    return cut(detectors.signals(steps.enrich(*(table(spark, sf_dir, t) for t in ("steps", "spans", "traces")))))
+
+
 def duck(plan: str) -> str:
     """The plan as SQL over tables of the same names."""
     return _MARK.sub(_duck, plan)
@@ -58,7 +66,7 @@ TRACES = """tr as (select trace_id, outcome, task_goal, agent_key, task_key, fra
 DIAG = """dg as (select diagnosis_id, trace_id, root_cause_step_index, root_cause_span_id, failure_class, confidence, calibrated_confidence, abstained, abstain_reason, rationale, candidates_considered, cluster_id from (select *, row_number() over (partition by diagnosis_id order by created_at desc nulls last, confidence desc nulls last, cluster_id desc nulls last) rn from diagnoses) q where rn = 1)"""
 DIV = """dv as (select diagnosis_id, step_index, min(trace_id) trace_id, min(span_id) span_id, min(divergence_score) score, min(cliff_delta) cliff, min(surprisal) surprisal, min(profile_surprisal) profile_surprisal, min(observed_signature) observed_signature, min(alignment_op) alignment_op
  from divergences where diagnosis_id is not null and step_index is not null group by diagnosis_id, step_index)"""
-# evidence of one kind per step, for merging with divergences
+# three kinds of evidence, for merging with divergences; only the equivalent SQL still reads it, run() binds the detectors' signals
 L1 = """l1 as (select st.trace_id, st.step_index, 'tool_error' detector, cast(0.7 as double) severity, 'tool_failure_unhandled' category from st join sp on st.trace_id = sp.trace_id and st.span_id = sp.span_id where st.kind = 'tool' and sp.payload is not null and sp.status = 'error'
  union all select st.trace_id, st.step_index, 'slow_step', cast(0.55 as double), 'unknown' from st where duration_ms > 5000
  union all select st.trace_id, st.step_index, 'retrieval_miss', cast(0.5 as double), 'retrieval_miss' from st where lower(signature) like 'retr%:miss%')"""
