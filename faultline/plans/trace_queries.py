@@ -51,8 +51,11 @@ SQL |= {k: relational.duck(v) for k, v in relational.PLANS.items()}
 
 
 def contrast_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Where every failed run leaves the successful runs of its agent."""
-    return align.contrast_all(steps.distinct_steps(table(spark, d, "steps")), steps.latest_traces(table(spark, d, "traces")))
+    """Where every failed run leaves the successful runs of the most similar tasks."""
+    traces = table(spark, d, "traces")
+    last = F.max(F.struct("ingested_at", "task_embedding"))
+    vectors = traces.where("trace_id is not null").groupBy(F.col("trace_id").alias("id")).agg(last["task_embedding"].alias("v"))
+    return align.contrast_all(enriched(spark, d), steps.latest_traces(traces), vectors)
 
 
 def linearized_steps(spark: SparkSession, d: str) -> DataFrame:
