@@ -127,7 +127,7 @@ def normal(passage: str) -> str:
 
 def repeats(words: list[str]) -> bool:
     """Whether one or two words make up the whole of a long passage."""
-    return len(words) >= 6 and len(set(words)) <= max(2, len(words) // 5)
+    return len(words) >= 6 and len(set(words)) <= 2
 
 
 def is_trusted(passage: str, key: str) -> int:
@@ -258,7 +258,7 @@ def judge(model: Model, text: str | None) -> tuple[float, str]:
         words, pairs = words_and_pairs(key)
         score = model.score(words, pairs)
         sure = "surelyslot" in key
-        if score <= THRESHOLD and (model.stretch(words) >= STRETCH_ODDS or is_trusted(p, key)):
+        if score <= THRESHOLD and (model.stretch(words) >= STRETCH_ODDS or is_trusted(p, key) == 2):
             score = TRUST
         if score > best:
             best = score

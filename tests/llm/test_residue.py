@@ -1,6 +1,6 @@
 import random
 
-from faultline.llm.residue import find_residue, learn, passages_of
+from faultline.llm.residue import find_residue, judge, learn, passages_of, repeats
 
 R = random.Random(9)
 PLAIN = ["The run in {p} ended at step {n} without a reply.", "We compared the trace with {n} good runs.", "Der Lauf in {p} endete bei Schritt {n} ohne Antwort.", "La ejecución en {p} terminó en el paso {n}.", "Placeholders such as [NAME] were all filled, we checked {n} letters.", "The prompt template fills `{{{{goal}}}}` before step {n}.", "The card masks numbers as <ID> and dates as <DATE>.", "Access denied was the honest result of step {n}, since it had no right to read.", "Reviewers asked why the words 'page not found' were an answer.", "for s in steps: print(\"%s %d\" % (s.name, s.idx))"]
@@ -34,3 +34,11 @@ def test_no_trusted_passage_and_empty(spark):
 def test_passages_leave_code_quotes_and_masks_out():
     got = passages_of('1. One `{{x}}` two.\n```\n{{code}}\n```\n{"tool": "t", "note": "kept note here"}\n[user] said \'page not found\' today <ID>')
     assert got == ["One code two.", "kept note here", "said quoted today mask"]
+
+
+def test_the_score_alone_decides(spark):
+    rows = [(i, _plain()) for i in range(300)] + [(1_000 + i, x) for i in range(30) for x in BAD[:2]]
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert judge(model, "Reviewers asked why the honest result of step 4 was {{goal}}, since it had no right to read.")[1] == ""
+    assert judge(model, BAD[0])[1] == "slot"
+    assert repeats(["sample", "text"] * 4) and not repeats("the run ended at step".split() * 20)
