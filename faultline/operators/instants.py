@@ -12,7 +12,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.runtime import bounded_broadcast, canonical_source
@@ -102,18 +102,21 @@ def read_instants(rows: DataFrame, raw: str, sources: DataFrame, source: str, re
     """
     cols = rows.columns
     known = {r["source"]: (r["time_zone"], r["day_month_order"]) for r in sources.select(canonical_source(F.col("source")).alias("source"), "time_zone", "day_month_order").limit(10_000).collect()}
-    zones = sorted({z for z, _ in known.values() if z in available_timezones()} | {"UTC"})
+    zones = {z for z, _ in known.values() if z in available_timezones()} | {"UTC"}
     spec = sources.sparkSession.createDataFrame([(s, z if z in available_timezones() else None, o) for s, (z, o) in known.items()], "__source string, __zone string, __order string")
     read = rows.withColumn("__source", canonical_source(F.col(source))).join(bounded_broadcast(spec), "__source", "left")
     read = parse_instant(read.select(*cols, "__source", "__zone", "__order"), raw, "__order")
-    # a few rows for each of the zones of the sources
-    offsets = sources.sparkSession.createDataFrame([(k, v) for k, v in abbreviations(zones).items()], "__abbr string, __abbr_s int")
-    undeclared = any(z not in available_timezones() for z, _ in known.values())
-    if undeclared and received and record:
-        estimated = estimate_zones(read, zones, received, record).select("__source", F.col("zone").alias("__estimated"))
+    if any(z not in available_timezones() for z, _ in known.values()) and received and record:
+        blind = read.where("__source is not null and __zone is null")
+        found = [(r["__source"], r["zone"]) for r in estimate_zones(blind, candidates(sources.sparkSession), received, record).limit(10_000).collect()]
+        zones |= {z for _, z in found}
+        estimated = sources.sparkSession.createDataFrame(found, "__source string, __estimated string")
         read = read.join(bounded_broadcast(estimated), "__source", "left")
     else:
         read = read.withColumn("__estimated", F.lit(None).cast("string"))
+    zones = sorted(zones)
+    # a few rows for each of the zones of the sources
+    offsets = sources.sparkSession.createDataFrame([(k, v) for k, v in abbreviations(zones).items()], "__abbr string, __abbr_s int")
     text = F.col("__zone_text")
     named = F.when(text.contains("/"), text)
     read = read.select(
@@ -127,6 +130,12 @@ def read_instants(rows: DataFrame, raw: str, sources: DataFrame, source: str, re
     return read.select(*cols, start.alias("start_us"), F.when(F.col("__epoch_us").isNull() & explicit.isNull() & F.col("__key").isNull() & F.col("__local_us").isNotNull(), F.col("zone_used")).alias("zone_used"))
 
 
+def candidates(spark: SparkSession) -> list[str]:
+    """Every zone an undeclared source may be in: the IANA names of the form area/place that Spark knows too, and UTC."""
+    known = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return sorted(z for z in available_timezones() & known if z == "UTC" or "/" in z and not z.startswith(("Etc/", "SystemV/")))
+
+
 def estimate_zones(read: DataFrame, zones: list[str], received: str, record: str) -> DataFrame:
     """Per source the zone of the list with the fewest violations: __source, zone, violations, values.
 

@@ -16,9 +16,9 @@ MESSAGES = "spans/attributes.request_messages"
 PARTS = "spans/attributes.request_messages/content"
 
 
-def shred_records(records: DataFrame, keep: list[str] | None = None, groups: list[str] | None = None) -> DataFrame:
-    """All groups of all bodies; each row with layout, group, ordinals and the key of its parent span."""
-    return shred(records, ["record_id", "layout", "source"], "body", ARRAYS, keep, groups, link=["span_id", "spanId"])
+def shred_records(records: DataFrame, keep: list[str] | None = None, groups: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """All groups of all bodies; each row with layout, group, ordinals, the key of its parent span and the columns carry of its record."""
+    return shred(records, ["record_id", "layout", "source", *carry], "body", ARRAYS, keep, groups, link=["span_id", "spanId"])
 
 
 def span_table(records: DataFrame) -> DataFrame:

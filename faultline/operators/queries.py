@@ -15,10 +15,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    spans = nested.shred_records(table(spark, d, "raw_records"), ["spanId", "span_id", "start_time", "startTimeUnixNano", "timestamp"], [nested.OI_SPANS, nested.TOP_SPANS, nested.CHILD_SPANS]).where("not is_null")
+    records, sources = table(spark, d, "raw_records"), table(spark, d, "upload_sources").select("source", "time_zone", "day_month_order")
+    spans = nested.shred_records(records, ["spanId", "span_id", "start_time", "startTimeUnixNano", "timestamp"], [nested.OI_SPANS, nested.TOP_SPANS, nested.CHILD_SPANS], ("received_at",)).where("not is_null")
     f = F.col("fields")
-    spans = spans.select("record_id", "source", F.coalesce(f["span_id"], f["spanId"]).alias("span_id"), F.coalesce(f["start_time"], f["startTimeUnixNano"], f["timestamp"]).alias("start"))
-    return instants.read_instants(spans.where("span_id is not null"), "start", table(spark, d, "upload_sources"), "source").where("start_us is not null").select("record_id", "span_id", "start_us")
+    spans = spans.select("record_id", "source", "received_at", F.coalesce(f["span_id"], f["spanId"]).alias("span_id"), F.coalesce(f["start_time"], f["startTimeUnixNano"], f["timestamp"]).alias("start"))
+    # a source that upload_sources lacks is one without a declared zone
+    name = instants.canonical_source(F.col("source"))
+    absent = records.where("source is not null").select(name.alias("source")).distinct().join(sources.select(name.alias("source")), "source", "left_anti")
+    sources = sources.unionByName(absent, allowMissingColumns=True)
+    return instants.read_instants(spans.where("span_id is not null"), "start", sources, "source", "received_at", "record_id").where("start_us is not null").select("record_id", "span_id", "start_us")
 
 
 def p2_zone_estimates(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as D
+import json
 from zoneinfo import ZoneInfo
 
 from faultline.operators.instants import abbreviations, read_instants
@@ -58,3 +59,18 @@ def test_empty_and_clashing_columns(spark):
     assert read_instants(df.limit(0), "raw", s, "source").count() == 0
     assert read_instants(df, "raw", s, "source").first().start_us is None
     assert abbreviations(["America/New_York"])["America/New_York|EDT"] == -4 * 3600
+
+
+def test_zone_of_an_absent_source_is_estimated_in_p2_found(spark, tmp_path):
+    from faultline.operators.queries import p2_found
+
+    rows, truth = [], {}
+    for i in range(24):
+        t = us(2026, 1 + i % 12, 5, 6, i)
+        spans = [{"span_id": f"a{i}", "start_time": D.datetime.fromtimestamp(t / 1e6, ZoneInfo("Asia/Kolkata")).strftime("%Y-%m-%d %H:%M:%S")}, {"span_id": f"b{i}", "start_time": D.datetime.fromtimestamp(t / 1e6 + 5, D.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")}]
+        rows.append((i, "raw_upload", "blind", D.datetime.fromtimestamp(t / 1e6 + 60, D.timezone.utc), json.dumps({"spans": spans})))
+        truth[f"a{i}"] = t
+    spark.createDataFrame(rows, "record_id long, layout string, source string, received_at timestamp, body string").write.parquet(str(tmp_path / "raw_records.parquet"))
+    spark.createDataFrame(SOURCES, "source string, time_zone string, day_month_order string").write.parquet(str(tmp_path / "upload_sources.parquet"))
+    got = {r.span_id: r.start_us for r in p2_found(spark, str(tmp_path)).collect()}
+    assert len(got) == 48 and all(got[k] == v for k, v in truth.items())
