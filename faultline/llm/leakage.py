@@ -5,29 +5,33 @@ them changed, dropped or put in between. Cut such a window into BUDGET + 1 piece
 exactly; so every window's pieces are looked up in the document's words, and wherever one is found the
 windows around it are verified with the bit-parallel edit distance, all windows at once.
 
-The items are a stated, bounded query set (MAX_ITEMS is checked): their pieces are sent to every task, and the
-corpus is scanned once, in place, without a shuffle. Words that several items have in common are no pieces
-and part of no window.
+The items are a stated query set: the pieces of a block of them, of fixed size, are sent to every task, and the
+corpus is scanned once for each block, in place, without a shuffle. Words that several items have in common are no pieces
+and part of no window, whatever block the items are in.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from faultline.runtime import cut
 
 #: Words in a window, and the edits it may hold: about one word in ten.
 LEAST, BUDGET = 20, 2
 #: Runs of at least this many words that two items have in common do not count; shorter ones are chance.
 COMMON = 16
-#: The query set's proven bound: its pieces must fit into every task.
-MAX_ITEMS = 20_000
+#: Items that are sent to every task at a time; windows verified side by side; documents searched at a time.
+BLOCK, LANES, DOCUMENTS = 20_000, 1 << 16, 2_000
 
 _ESCAPES = {"n": "\n", "t": " ", "r": "\n", "b": " ", "f": " ", '"': '"', "'": "'", "/": "/", "\\": "\\"}
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|([ntrbf\"'/\\]))")
@@ -80,23 +84,23 @@ def common_words(items: dict[int, list[str]], length: int = COMMON) -> dict[int,
     return out
 
 
-def myers(patterns: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Smallest edit distance of each pattern to any stretch of text that ends with the pattern's last word (a large number if none does).
+def myers(patterns: np.ndarray, texts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Smallest edit distance of each pattern to any stretch of its text that ends with the pattern's last word (a large number if none does).
 
-    patterns: (windows, words) of word numbers, at most 63 words; text: word numbers. One step a text word, all
-    windows side by side in 64-bit words.
+    patterns: (windows, words) of word numbers, at most 63 words; texts: (texts, words), padded with -1; of: the row of texts
+    of each pattern. One step a text word, all windows of all texts side by side in 64-bit words.
     """
     n, m = patterns.shape
+    wide = np.full((n, next(w for w in (8, 16, 32, 64) if w >= m)), -2, np.int32)
+    wide[:, :m] = patterns
+    kind = {8: np.uint8, 16: np.uint16, 32: np.uint32, 64: np.uint64}[wide.shape[1]]
     one, top = np.uint64(1), np.uint64(m - 1)
-    bits = one << np.arange(m, dtype=np.uint64)
     pv, mv = np.full(n, (1 << m) - 1, np.uint64), np.zeros(n, np.uint64)
     score, best = np.full(n, m, np.int64), np.full(n, 1 << 30, np.int64)
     last = patterns[:, -1]
-    cache: dict[int, np.ndarray] = {}
-    for c in text.tolist():
-        eq = cache.get(c)
-        if eq is None:
-            eq = cache[c] = ((patterns == c) * bits).sum(1, dtype=np.uint64)
+    for t in range(texts.shape[1]):
+        c = texts[of, t]
+        eq = np.packbits(wide == c[:, None], axis=1, bitorder="little").view(kind)[:, 0].astype(np.uint64)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | ~(xh | pv)
@@ -104,46 +108,47 @@ def myers(patterns: np.ndarray, text: np.ndarray) -> np.ndarray:
         score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
         ph, mh = ph << one, mh << one
         pv, mv = mh | ~(xv | ph), ph & xv
-        hit = (last == c) & (score < best)
-        best[hit] = score[hit]
+        np.minimum(best, score, out=best, where=last == c)
     return best
 
 
 class Matcher:
-    """The pieces of all items, ready to be looked up in one document after another."""
+    """The pieces of a block of items, ready to be looked up in batches of documents.
+
+    shared: for each item which of its words other items have too; by default it is found among texts alone. Windows that other items
+    hold as well are taken out by drop_rivals.
+    """
 
-    def __init__(self, items: dict[int, str], least: int = LEAST, budget: int = BUDGET, common: int = COMMON):
+    def __init__(self, texts: dict[int, str], least: int = LEAST, budget: int = BUDGET, common: int = COMMON, shared: dict[int, np.ndarray] | None = None):
         self.least, self.budget, self.piece = least, budget, pieces(least, budget)
         # an edit spoils at most ``piece`` of a window's pieces, so a window within the budget has at least this many left
         self.need = max(1, least - self.piece + 1 - budget * self.piece)
-        texts = {i: words_of(t) for i, t in items.items()}
-        shared = common_words(texts, common)
+        split = {i: words_of(t) for i, t in texts.items()}
+        shared = common_words(split, common) if shared is None else shared
         self.vocabulary: dict[str, int] = {}
-        for w in texts.values():
+        for w in split.values():
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
-        self.words = {i: np.array([self.vocabulary[x] for x in w], np.int64) for i, w in texts.items()}
+        self.items = list(split)
+        words = [np.array([self.vocabulary[x] for x in split[i]], np.int64) for i in self.items]
+        self.offset = np.cumsum([0, *map(len, words)])
+        self.flat = np.concatenate([*words, np.empty(0, np.int64)])
         # windows lie within stretches that no other item shares
-        self.windows: dict[int, np.ndarray] = {}
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, w in self.words.items():
-            free = ~shared[i]
-            run = np.cumsum(np.r_[0, free])
-            starts = np.array([p for p in range(len(w) - least + 1) if run[p + least] - run[p] == least], np.int64)
-            self.windows[i] = starts
-            inside = np.zeros(len(w), bool)
-            for p in starts:
-                inside[p : p + least] = True
-            h = self._hash(w)
-            for p in range(len(w) - self.piece + 1):
-                if inside[p : p + self.piece].all():
-                    where[int(h[p])].append((i, p))
-        self.where = dict(where)
-        # a window that another item holds as well, with as many edits, tells nothing
-        for other in texts:
-            for item, hit in self._matches(self.words[other]).items():
-                if item != other:
-                    self.windows[item] = np.setdiff1d(self.windows[item], np.array(list(hit)))
+        self.windows: list[np.ndarray] = []
+        keys, owners, places = [], [], []
+        for k, (i, w) in enumerate(zip(self.items, words, strict=True)):
+            run = np.cumsum(np.r_[0, ~shared[i]])
+            starts = np.flatnonzero(run[least:] - run[:-least] == least) if len(w) >= least else np.empty(0, np.int64)
+            self.windows.append(starts)
+            inside = np.zeros(len(w) + 1, np.int64)
+            np.add.at(inside, starts, 1)
+            np.add.at(inside, starts + least, -1)
+            held = np.cumsum(np.r_[0, np.cumsum(inside)[:-1] > 0])
+            at = np.flatnonzero(held[self.piece :] - held[: -self.piece] == self.piece) if len(w) >= self.piece else np.empty(0, np.int64)
+            keys.append(self._hash(w)[at]), owners.append(np.full(len(at), k)), places.append(at)
+        key, owner, place = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (keys, owners, places))
+        order = np.lexsort((place, owner, key))
+        self.key, self.owner, self.place = key[order], owner[order], place[order]
 
     def _hash(self, ids: np.ndarray) -> np.ndarray:
         n = len(ids) - self.piece + 1
@@ -155,67 +160,155 @@ class Matcher:
             h ^= h >> np.uint64(29)
         return h.astype(np.int64)
 
+    def drop_rivals(self, hits: Iterable[tuple[int, int, dict[int, int]]]) -> Matcher:
+        """Without the windows that another item holds as well, with as many edits: they tell nothing. hits: (item that holds, item, its windows)."""
+        at = {i: k for k, i in enumerate(self.items)}
+        for holder, item, windows in hits:
+            if holder != item:
+                self.windows[at[item]] = np.setdiff1d(self.windows[at[item]], np.array(list(windows), np.int64))
+        return self
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, dict[int, int]]]:
+        """(place of the text, item, window's first word: edits) of every text and item with a window within the budget."""
+        known, docs, at = self.vocabulary, [], []
+        for i, t in enumerate(texts):
+            ids = [known.get(w, 0) for w in words_of(t)]
+            if len(ids) >= self.piece:
+                docs.append(ids), at.append(i)
+        if not docs or not len(self.key):
+            return []
+        # all texts one after another, a word that no item has between them
+        length = np.array([len(d) + 1 for d in docs])
+        begin = np.cumsum(length) - length
+        ids = np.fromiter((x for d in docs for x in (*d, 0)), np.int64, int(length.sum()))
+        # only stretches of the items' own words are long enough for a piece
+        own = np.cumsum(np.r_[0, ids > 0])
+        spots = np.flatnonzero(own[self.piece :] - own[: -self.piece] == self.piece)
+        h = self._hash(ids)[spots]
+        low, high = np.searchsorted(self.key, h), np.searchsorted(self.key, h, side="right")
+        n = high - low
+        spots, low, n = spots[n > 0], low[n > 0], n[n > 0]
+        if not len(spots):
+            return []
+        row = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        p, owner, q = np.repeat(spots, n), self.owner[row], self.place[row]
+        span = np.arange(self.piece)
+        same = (ids[p[:, None] + span] == self.flat[(self.offset[owner] + q)[:, None] + span]).all(1)
+        p, owner, q = p[same], owner[same], q[same]
+        doc = np.searchsorted(begin, p, side="right") - 1
+        order = np.lexsort((q, p, owner, doc))
+        p, owner, q, doc = p[order], owner[order], q[order], doc[order]
+        # hits near one another in the text are verified together: the windows around them against the text around them
+        reach = self.least + self.budget
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (p[1:] - p[:-1] > reach)]) if len(p) else np.empty(0, np.int64)
+        jobs: list[tuple[int, int, np.ndarray, int, int]] = []
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(p)], strict=True):
+            k, d = int(owner[a]), int(doc[a])
+            starts, qs = self.windows[k], np.unique(q[a:b])
+            held = np.searchsorted(qs, starts + self.least - self.piece, side="right") - np.searchsorted(qs, starts)
+            use = starts[held >= self.need]
+            if len(use):
+                jobs.append((d, k, use, max(int(begin[d]), int(p[a]) - reach), min(int(begin[d] + length[d]) - 1, int(p[b - 1]) + self.piece + reach)))
+        jobs.sort(key=lambda j: j[4] - j[3])
+        found: dict[tuple[int, int], dict[int, int]] = {}
+        part: list[tuple[int, int, np.ndarray, int, int]] = []
+        lanes = 0
+        for job in [*jobs, None]:
+            if part and (job is None or lanes + len(job[2]) > LANES):
+                self._verify(part, ids, found)
+                part, lanes = [], 0
+            if job is not None:
+                part.append(job)
+                lanes += len(job[2])
+        return [(at[d], self.items[k], best) for (d, k), best in found.items()]
+
+    def _verify(self, jobs: list[tuple[int, int, np.ndarray, int, int]], ids: np.ndarray, found: dict[tuple[int, int], dict[int, int]]) -> None:
+        texts = np.full((len(jobs), max(j[4] - j[3] for j in jobs)), -1, np.int32)
+        for i, (_, _, _, a, b) in enumerate(jobs):
+            texts[i, : b - a] = ids[a:b]
+        first = np.concatenate([self.offset[j[1]] + j[2] for j in jobs])
+        of = np.repeat(np.arange(len(jobs)), [len(j[2]) for j in jobs])
+        edits = myers(self.flat[first[:, None] + np.arange(self.least)], texts, of)
+        for i in np.flatnonzero(edits <= self.budget).tolist():
+            d, k = jobs[of[i]][:2]
+            best = found.setdefault((d, k), {})
+            start, e = int(first[i] - self.offset[k]), int(edits[i])
+            best[start] = min(e, best.get(start, e))
+
     def leaks(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, matching windows, fewest edits) of every item that leaks into a text."""
-        words = words_of(text)
-        known = self.vocabulary
-        if "1" * self.piece not in "".join(["1" if w in known else "0" for w in words]):
-            return []  # no stretch of the items' own words is long enough for a piece
-        ids = np.array([known.get(w, 0) for w in words], np.int64)
-        return [(item, len(best), min(best.values())) for item, best in self._matches(ids).items()]
-
-    def _matches(self, ids: np.ndarray) -> dict[int, dict[int, int]]:
-        """item: window's first word: edits, of all windows within the budget."""
-        spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        where = self.where
-        for p, x in enumerate(self._hash(ids).tolist()):
-            for item, q in where.get(x, ()):
-                if (ids[p : p + self.piece] == self.words[item][q : q + self.piece]).all():
-                    spots[item].append((p, q))
-        found: dict[int, dict[int, int]] = {}
-        reach = self.least + self.budget
-        for item, at in spots.items():
-            starts = self.windows[item]
-            best: dict[int, int] = {}
-            # hits near one another in the text are verified together: the windows around them against the text around them
-            at.sort()
-            group: list[tuple[int, int]] = []
-            for spot in [*at, (1 << 60, 0)]:
-                if group and spot[0] - group[-1][0] > reach:
-                    qs = np.unique(np.array([q for _, q in group]))
-                    held = np.searchsorted(qs, starts + self.least - self.piece, side="right") - np.searchsorted(qs, starts)
-                    use = starts[held >= self.need]
-                    if len(use):
-                        patterns = self.words[item][use[:, None] + np.arange(self.least)]
-                        stretch = ids[max(0, group[0][0] - reach) : group[-1][0] + self.piece + reach]
-                        for s, d in zip(use.tolist(), myers(patterns, stretch).tolist(), strict=True):
-                            if d <= self.budget:
-                                best[s] = min(d, best.get(s, d))
-                    group = []
-                group.append(spot)
-            if best:
-                found[item] = best
-        return found
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, budget: int = BUDGET, common: int = COMMON) -> DataFrame:
+        return [(item, len(best), min(best.values())) for _, item, best in self.search([text])]
+
+
+def _shared_words(items: DataFrame, length: int) -> DataFrame:
+    """item_id and starts: first words of the runs of length words that another item has too, over all items."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, p, hashlib.blake2b("\0".join(w[p : p + length]).encode(), digest_size=16).digest()) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in [words_of(t)] for p in range(len(w) - length + 1)]
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["item_id", "at", "gram"])
+
+    g = items.mapInArrow(grams, "item_id long, at int, gram binary")
+    several = g.groupBy("gram").agg((F.min("item_id") < F.max("item_id")).alias("several")).where("several").select("gram")
+    return g.join(several, "gram", "left_semi").groupBy("item_id").agg(F.collect_list("at").alias("starts"))
+
+
+def matchers(items: DataFrame, least: int = LEAST, budget: int = BUDGET, common: int = COMMON, block: int = BLOCK) -> Iterator[Matcher]:
+    """One matcher for each block of items (item_id, text: distinct ids). What several items have in common is judged over all items, whatever the block."""
+    rows = sorted(items.select("item_id", "text", F.length("text").alias("n")).limit(block + 1).collect())
+    if len(rows) <= block:
+        m = Matcher({r[0]: r[1] for r in rows}, least, budget, common)
+        yield m.drop_rivals((m.items[i], item, w) for i, item, w in m.search([r[1] for r in rows]))
+        return
+    spark = items.sparkSession
+    items = cut(items.select("item_id", "text"))
+    starts = cut(_shared_words(items, common))
+    blocks = -(-items.count() // block)
+    for k in range(2 * blocks):  # hash blocks of about half the size
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(2 * blocks)) == k)
+        texts = {r[0]: r[1] for r in part.collect()}
+        runs = {r[0]: r[1] for r in starts.join(part.select("item_id"), "item_id", "left_semi").collect()}
+        shared = {}
+        for i, t in texts.items():
+            shared[i] = np.zeros(len(words_of(t)), bool)
+            for p in runs.get(i, ()):
+                shared[i][p : p + common] = True
+        m = Matcher(texts, least, budget, common, shared)
+        sent = spark.sparkContext.broadcast(m)
+
+        def rivals(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names = b.column(0).to_pylist()
+                hits = [(names[i], item, s) for i, item, w in sent.value.search(b.column(1).to_pylist()) if names[i] != item for s in w]
+                yield pa.RecordBatch.from_arrays([pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int32())], names=["item", "start"])
+
+        # at most the windows of the block come back
+        yield m.drop_rivals((None, r["item"], {r["start"]: 0}) for r in items.mapInArrow(rivals, "item long, start int").distinct().collect())
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, budget: int = BUDGET, common: int = COMMON, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, windows (how many of the item's windows match) and edits (the fewest in a window).
 
-    documents: doc_id, text; items: item_id, text, a bounded query set (an error above MAX_ITEMS). Null and
-    empty texts hold nothing. A repeated item_id is read as one text, the smallest. Extra columns are not read.
+    documents: doc_id, text; items: item_id, text, a query set of any size: every block of items is sent to all tasks and scans
+    the corpus once, in place. Null and empty texts hold nothing. A repeated item_id is read as one text, the smallest. A window counts where
+    it ends with its own last word. Extra columns are not read.
     """
-    queries = items.where("item_id is not null and text is not null").groupBy("item_id").agg({"text": "min"}).limit(MAX_ITEMS + 1).collect()
-    if len(queries) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: run them in blocks")
-    texts = {r[0]: r[1] for r in queries}
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(Matcher(texts, least, budget, common))  # its size is bounded by MAX_ITEMS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = sent.value
-        for b in batches:
-            rows = [(i, *leak) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for leak in matcher.leaks(t)]
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "windows", "edits"])
+    queries = items.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+    spark, found = documents.sparkSession, None
+    corpus = documents.select("doc_id", "text").where("text is not null")
+    for matcher in matchers(queries, least, budget, common, block):
+        sent = spark.sparkContext.broadcast(matcher)  # its size is bounded by block
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for start in range(0, b.num_rows, DOCUMENTS):
+                    part = b.slice(start, DOCUMENTS)
+                    rows = [(i, item, len(w), min(w.values())) for i, item, w in sent.value.search(part.column(1).to_pylist())]
+                    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int32(), pa.int32()), strict=True))], names=["doc_id", "item_id", "windows", "edits"])
 
-    return documents.select("doc_id", "text").where("text is not null").mapInArrow(run, "doc_id long, item_id long, windows int, edits int")
+        kind = dict(documents.dtypes)["doc_id"]
+        one = corpus.mapInArrow(run, f"doc_id {kind}, item_id long, windows int, edits int")
+        found = one if found is None else found.unionByName(one)
+    return found

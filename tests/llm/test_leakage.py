@@ -29,7 +29,7 @@ def test_myers_is_the_edit_distance():
                     cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (row[j - 1] != c)))
                 prev, best = cur, min(best, cur[9]) if c == row[-1] else best
             want.append(best)
-        assert myers(p, t).tolist() == want
+        assert myers(p, np.stack([t[::-1], t]), np.ones(3, np.int64)).tolist() == want
 
 
 def test_disguises(spark):
@@ -58,3 +58,12 @@ def test_length_and_budget_against_brute_force():
     for step, hit in ((12, True), (4, False)):  # every fourth word changed is too much
         t = " ".join("zzz" if k % step == 3 else x for k, x in enumerate(w))
         assert bool(m.leaks(t)) == hit
+
+
+def test_blocks_of_items_change_nothing(spark):
+    r = random.Random(8)
+    docs = [(k, " ".join([FILL, _cut(1 + k % 8, a := r.randrange(40), a + 30), FILL])) for k in range(30)] + [(90, OPENING + " " + FILL), (91, None)]
+    items = spark.createDataFrame([*ITEM.items(), (3, "twice"), (11, None)], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = sorted(map(tuple, find_leaks(df, items).collect()))
+    assert len(whole) == 30 and sorted(map(tuple, find_leaks(df, items, block=3).collect())) == whole
