@@ -37,6 +37,8 @@ STRETCH_WORDS, STRETCH_ODDS = 4, 8.0
 SMOOTHING = 0.05
 #: A trusted passage of at most so many words is residue as a whole.
 SHORT = 9
+#: Lines whose passages a task remembers.
+MEMO = 50_000
 
 # The project's own masks, which are no slots.
 MASKS = ("<ID>", "<DATE>", "<UUID>")
@@ -75,43 +77,52 @@ _FENCE = re.compile(r"```.*?(?:```|$)", re.S)
 _CODE_LINE = re.compile(r"^\s*(?:def \w+\(.*|for \w+ in .*:.*|class \w+.*:|import \w+.*|from \w+ import .*|return .*|print\(.*|[\w.]+\s*=\s*[^=].*|\w+\(.*\);?)$")
 _TICKS = re.compile(r"`[^`\n]{1,200}`")
 _QUOTED = re.compile(r"(?<!\w)(?:'[^'\n]{2,120}'|\"[^\"\n]{2,120}\"|«[^»\n]{2,120}»|„[^“\n]{2,120}“|“[^”\n]{2,120}”)(?!\w)")
+#: What quotes begin with; what slots have in them.
+_MARKS, _BRACKETS, _OPENERS = re.compile(r"['\"«„“]"), re.compile(r"[{\[<%@_(]|XX"), re.compile(r"[{\[<]")
+_HEX, _DIGITS = re.compile(r"\b(?=\w*\d)(?=\w*[a-f])[0-9a-f]{6,}\b"), re.compile(r"\d+")
 _NOTE = re.compile(r"^\s*\{\"[^\n]*\}\s*$")
 _SPLIT = re.compile(r"\n+|(?<=[.!?])\s+")
 _SPEAKER = re.compile(r"^\s*(?:\[\w+\]|\d{1,4}[.)]|[>*•\-]+)\s+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|0+|[^\w\s]")
 
 
-def passages_of(text: str | None) -> list[str]:
-    """The passages of a text, without code, quotes and masks, white space as single blanks."""
-    if not text:
-        return []
-    t = _FENCE.sub("\n", text)
-    t = _TAG.sub("\n", t)
-    for m in MASKS:
-        t = t.replace(m, "mask")
+def _passages_of_line(line: str) -> list[str]:
+    parts = [line]
+    if '{"' in line and _NOTE.match(line):  # a record line: its text values are passages
+        values = re.findall(r'"(?:[^"\\]|\\.)*"\s*:\s*"((?:[^"\\]|\\.)*)"', line)
+        parts = [v for v in values if " " in v]
     out = []
-    for line in t.split("\n"):
-        if _NOTE.match(line):  # a record line: its text values are passages
-            values = re.findall(r'"(?:[^"\\]|\\.)*"\s*:\s*"((?:[^"\\]|\\.)*)"', line)
-            parts = [v for v in values if " " in v]
-        else:
-            parts = [line]
-        for part in parts:
-            if _CODE_LINE.match(part) and not _SURE.search(part.split("=")[0]):
-                continue
-            while (m := _SPEAKER.match(part)) and m.end() < len(part):
-                part = part[m.end() :]
+    for part in parts:
+        if _CODE_LINE.match(part) and not _SURE.search(part.split("=")[0]):
+            continue
+        while (m := _SPEAKER.match(part)) and m.end() < len(part):
+            part = part[m.end() :]
+        if "`" in part:
             part = _TICKS.sub(" code ", part)
-            for s in _SPLIT.split(part):
-                s = " ".join(s.split())
-                while (m := _SPEAKER.match(s)) and m.end() < len(s):
-                    s = s[m.end() :]
-                if s:
-                    whole = _QUOTED.sub(" quoted ", s).strip()
-                    out.append(s if whole == "quoted" else " ".join(whole.split()))
+        for s in _SPLIT.split(part):
+            s = " ".join(s.split())
+            while (m := _SPEAKER.match(s)) and m.end() < len(s):
+                s = s[m.end() :]
+            if s:
+                whole = _QUOTED.sub(" quoted ", s).strip() if _MARKS.search(s) else s
+                out.append(s if whole == "quoted" else " ".join(whole.split()))
     return out
 
 
+def _lines_of(text: str) -> list[str]:
+    t = _FENCE.sub("\n", text) if "```" in text else text
+    if "<" in t:
+        t = _TAG.sub("\n", t)
+        for m in MASKS:
+            t = t.replace(m, "mask")
+    return t.split("\n")
+
+
+def passages_of(text: str | None) -> list[str]:
+    """The passages of a text, without code, quotes and masks, white space as single blanks."""
+    return [p for line in _lines_of(text) for p in _passages_of_line(line)] if text else []
+
+
 def slots_of(passage: str) -> tuple[int, int]:
     """How many sure and possible slots a passage has."""
     return len(_SURE.findall(passage)), len(_MAYBE.findall(passage))
@@ -119,10 +130,15 @@ def slots_of(passage: str) -> tuple[int, int]:
 
 def normal(passage: str) -> str:
     """The passage as the model reads it: lower case, digits as 0, slots as one word each."""
-    p = _SURE.sub(" surelyslot ", passage)
-    p = _MAYBE.sub(" maybeslot ", p)
-    p = re.sub(r"\b(?=\w*\d)(?=\w*[a-f])[0-9a-f]{6,}\b", "hexid", p.lower())
-    return " ".join(re.sub(r"\d+", "0", p).split())
+    p = passage
+    if _BRACKETS.search(p):
+        p = _SURE.sub(" surelyslot ", p)
+        if _OPENERS.search(p):
+            p = _MAYBE.sub(" maybeslot ", p)
+    p = p.lower()
+    if _DIGITS.search(p):
+        p = _DIGITS.sub("0", _HEX.sub("hexid", p))
+    return " ".join(p.split())
 
 
 def repeats(words: list[str]) -> bool:
@@ -130,7 +146,7 @@ def repeats(words: list[str]) -> bool:
     return len(words) >= 6 and len(set(words)) <= 2
 
 
-def is_trusted(passage: str, key: str) -> int:
+def is_trusted(key: str) -> int:
     """2 if all of a passage is what trusted patterns name, 1 if it holds a sure slot or filler, else 0."""
     words = re.findall(r"[^\W\d_]+", key)
     if _TRUSTED.fullmatch(key) or repeats(words):
@@ -180,21 +196,52 @@ class Model:
         return float((c[STRETCH_WORDS:] - np.minimum.accumulate(c[: len(c) - STRETCH_WORDS])).max())
 
 
-def passage_table(documents: DataFrame) -> DataFrame:
-    """Distinct passages of the whole corpus as the model reads them: key, n, trusted."""
+def passage_rows(documents: DataFrame) -> DataFrame:
+    """doc_id, key, n: the distinct passages of every document as the model reads them, and how often it has each."""
+    kind = dict(documents.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}  # what lines come to; lines recur
+        for b in batches:
+            at: list[int] = []
+            keys: list[str] = []
+            counts: list[int] = []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                seen: dict[str, int] = {}
+                for line in _lines_of(t):
+                    ks = known.get(line)
+                    if ks is None:
+                        if len(known) >= MEMO:
+                            known.clear()
+                        ks = known[line] = [normal(p) for p in _passages_of_line(line)]
+                    for k in ks:
+                        seen[k] = seen.get(k, 0) + 1
+                at += [i] * len(seen)
+                keys += seen
+                counts += seen.values()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "key", "n"])
+
+    return documents.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {kind}, key string, n long")
+
+
+def passage_table(rows: DataFrame) -> DataFrame:
+    """Distinct passages of the whole corpus: key, n, trusted and their feature buckets words and pairs, made once for all rounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[str, list[int]] = {}
-            for t in b.column(0).to_pylist():
-                for p in passages_of(t):
-                    k = normal(p)
-                    row = seen.setdefault(k, [0, 0])
-                    row[0] += 1
-                    row[1] = max(row[1], is_trusted(p, k))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int32())], names=["key", "n", "trusted"])
+            keys = b.column(0).to_pylist()
+            made = [words_and_pairs(k) for k in keys]
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(m[j]) for m in made)]), pa.int32()), pa.array(np.concatenate([*(m[j] for m in made), np.empty(0, np.int64)]).astype(np.int32))) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([is_trusted(k) for k in keys], pa.int32()), *lists], names=["key", "n", "trusted", "words", "pairs"])
+
+    return rows.groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(run, "key string, n long, trusted int, words array<int>, pairs array<int>")
+
 
-    return documents.select("text").where("text is not null").mapInArrow(run, "key string, n long, trusted int").groupBy("key").agg(F.sum("n").alias("n"), F.max("trusted").alias("trusted"))
+def _features(b: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """words and pairs of every row, from the list columns at and at + 1."""
+    off, flat = zip(*((c.offsets.to_numpy(), c.values.to_numpy().astype(np.int64)) for c in (b.column(at), b.column(at + 1))), strict=True)
+    for i in range(b.num_rows):
+        yield flat[0][off[0][i] : off[0][i + 1]], flat[1][off[1][i] : off[1][i + 1]]
 
 
 def _totals(passages: DataFrame, model: Model | None) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -205,21 +252,20 @@ def _totals(passages: DataFrame, model: Model | None) -> tuple[np.ndarray, np.nd
         m = sent.value
         pos, neg = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
         for b in batches:
-            for key, n, trusted in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words, pairs = words_and_pairs(key)
+            for n, trusted, (words, pairs) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _features(b, 2), strict=True):
                 if not len(words):
                     continue
-                f, w = np.unique(np.r_[words, pairs]), math.sqrt(n)  # a copied passage counts more, but does not outweigh all others
+                f, w = np.unique(np.concatenate([words, pairs])), math.sqrt(n)  # a copied passage counts more, but does not outweigh all others
                 if trusted:
                     r = 1.0
                 elif m is None:
                     r = 0.0
                 else:
-                    r = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, m.score(words, pairs)))))
+                    r = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, m.prior + float(m.odds[f].sum())))))
                 if m is not None and trusted < 2 and r > 0.01 and not (trusted and len(words) <= SHORT):
                     # residue may share its passage with ordinary words: only its best stretch is positive
                     s, e = best_stretch(m.odds[words])
-                    own = np.unique(np.r_[words[s:e], pairs[s : max(s, e - 1)]])
+                    own = np.unique(np.concatenate([words[s:e], pairs[s : max(s, e - 1)]]))
                     neg[np.setdiff1d(f, own)] += w
                     f = own
                 pos[f] += r * w
@@ -231,14 +277,13 @@ def _totals(passages: DataFrame, model: Model | None) -> tuple[np.ndarray, np.nd
 
     pos, neg = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     # at most FEATURES + 1 rows come back, whatever the corpus
-    for r in passages.select("key", "n", "trusted").mapInArrow(run, "f int, p double, n double").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect():
+    for r in passages.select("n", "trusted", "words", "pairs").mapInArrow(run, "f int, p double, n double").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect():
         pos[r["f"]], neg[r["f"]] = r["p"], r["n"]
     return pos[:FEATURES], neg[:FEATURES], float(pos[FEATURES]), float(neg[FEATURES])
 
 
-def learn(documents: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model of a corpus. With no trusted passage at all, everything scores as ordinary text."""
-    passages = cut(passage_table(documents))
+def fit(passages: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of a corpus's passage_table. With no trusted passage at all, everything scores as ordinary text."""
     pos, neg, p, n = _totals(passages, None)
     model = Model(pos, neg, min(0.5, max(1e-6, p / (p + n) if p + n else 1e-6)))
     if p == 0:
@@ -250,34 +295,41 @@ def learn(documents: DataFrame, rounds: int = ROUNDS) -> Model:
     return model
 
 
+def learn(documents: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of a corpus."""
+    return fit(cut(passage_table(passage_rows(documents))), rounds)
+
+
+def judge_passage(model: Model, key: str, trusted: int, words: np.ndarray, pairs: np.ndarray) -> tuple[float, str]:
+    """(log odds, what kind of residue the passage is or '')."""
+    score = model.score(words, pairs)
+    if score <= THRESHOLD and (model.stretch(words) >= STRETCH_ODDS or trusted == 2):
+        score = TRUST
+    return score, ("slot" if "surelyslot" in key or "maybeslot" in key else "text") if score > THRESHOLD else ""
+
+
 def judge(model: Model, text: str | None) -> tuple[float, str]:
-    """(highest log odds of a passage, what kind of residue it is or '')."""
-    best, kind = -50.0, ""
-    for p in passages_of(text):
-        key = normal(p)
-        words, pairs = words_and_pairs(key)
-        score = model.score(words, pairs)
-        sure = "surelyslot" in key
-        if score <= THRESHOLD and (model.stretch(words) >= STRETCH_ODDS or is_trusted(p, key) == 2):
-            score = TRUST
-        if score > best:
-            best = score
-            if score > THRESHOLD:
-                kind = "slot" if sure or "maybeslot" in key else "text"
-    return best, kind
+    """(highest log odds of a passage, what kind of residue it is or '') of one text."""
+    keys = [normal(p) for p in passages_of(text)]
+    return max((judge_passage(model, k, is_trusted(k), *words_and_pairs(k)) for k in keys), default=(-50.0, ""))
 
 
 def find_residue(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, odds and kind of every record that is residue. documents: doc_id, text; a null or empty text is none. Other columns are not read."""
-    model = learn(documents) if model is None else model
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    """doc_id, odds and kind of every record that is residue. documents: doc_id, text; a null or empty text is none. Other columns are not read.
+
+    Every document is split once; every distinct passage is scored once, however many documents hold it. A repeated doc_id is one record.
+    """
+    rows = cut(passage_rows(documents))
+    passages = cut(passage_table(rows))
+    sent = documents.sparkSession.sparkContext.broadcast(fit(passages) if model is None else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            rows = [(i, *judge(m, t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            rows = [r for r in rows if r[2]]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())], names=["doc_id", "odds", "kind"])
+            got = [judge_passage(m, k, t, *f) for k, t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _features(b, 2), strict=True)]
+            hit = np.flatnonzero([bool(g[1]) for g in got])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([got[i][0] for i in hit], pa.float64()), pa.array([got[i][1] for i in hit], pa.string())], names=["key", "odds", "kind"])
 
-    return documents.select("doc_id", "text").where("text is not null").mapInArrow(run, "doc_id long, odds double, kind string")
+    hits = passages.select("key", "trusted", "words", "pairs").mapInArrow(run, "key string, odds double, kind string")
+    best = rows.select("doc_id", "key").join(hits, "key").groupBy("doc_id").agg(F.max(F.struct("odds", "kind")).alias("b"))
+    return best.select("doc_id", "b.odds", "b.kind")
