@@ -4,7 +4,8 @@ Passages of the corpus that trusted patterns name as residue (unfilled slots, fi
 that scripts are needed) are the positive class; all others are unlabelled. Expectation-maximization learns
 from them what residue and what ordinary text looks like: the labels of the unlabelled passages are
 estimated, the word statistics re-estimated, over all passages of the corpus in every round. The model, whose
-size is fixed, then scores every passage, and a record is residue if one of its passages is.
+size is fixed, then scores every distinct passage, and a record is residue if one of its passages is. The patterns only
+label passages for the learning; the score alone decides.
 
 Quoted and code-formatted stretches are taken out before scoring, since text that reports residue or shows
 code is none; so are the project's own masks.
@@ -28,8 +29,8 @@ from faultline.runtime import cut
 FEATURES = 1 << 17
 #: Rounds of expectation-maximization.
 ROUNDS = 4
-#: Log odds above which a passage is residue, and the least that a trusted one has.
-THRESHOLD, TRUST = -2.0, 1.0
+#: Log odds above which a passage is residue, and what one counts as that is residue by its best stretch.
+THRESHOLD, STRETCHED = -2.0, 1.0
 #: Words and pairs of words say much the same twice over: their evidence counts this much.
 TEMPER = 0.4
 #: A stretch of at least so many words with so much evidence is residue whatever follows it in the same passage.
@@ -159,10 +160,11 @@ def tokens_of(key: str) -> list[str]:
 
 
 def words_and_pairs(key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of a passage's words and of its neighbouring pairs, each in order."""
+    """Feature buckets of a passage's words and of its neighbouring pairs, each in order; the passage's two ends count as neighbours, so pair i ends with word i."""
     t = tokens_of(key)
     h = lambda s: zlib.crc32(s.encode()) & (FEATURES - 1)
     alike = ["slot" if w in ("surelyslot", "maybeslot") else w for w in t]  # what is said around slots does not depend on their shape
+    alike = ["^", *alike, "$"] if t else []
     return np.array([h(w) for w in t], np.int64), np.array([h(f"{a} {b}") for a, b in zip(alike, alike[1:], strict=False)], np.int64)
 
 
@@ -265,7 +267,7 @@ def _totals(passages: DataFrame, model: Model | None) -> tuple[np.ndarray, np.nd
                 if m is not None and trusted < 2 and r > 0.01 and not (trusted and len(words) <= SHORT):
                     # residue may share its passage with ordinary words: only its best stretch is positive
                     s, e = best_stretch(m.odds[words])
-                    own = np.unique(np.concatenate([words[s:e], pairs[s : max(s, e - 1)]]))
+                    own = np.unique(np.concatenate([words[s:e], pairs[s + 1 : max(s + 1, e)]]))
                     neg[np.setdiff1d(f, own)] += w
                     f = own
                 pos[f] += r * w
@@ -300,18 +302,18 @@ def learn(documents: DataFrame, rounds: int = ROUNDS) -> Model:
     return fit(cut(passage_table(passage_rows(documents))), rounds)
 
 
-def judge_passage(model: Model, key: str, trusted: int, words: np.ndarray, pairs: np.ndarray) -> tuple[float, str]:
-    """(log odds, what kind of residue the passage is or '')."""
+def judge_passage(model: Model, key: str, words: np.ndarray, pairs: np.ndarray) -> tuple[float, str]:
+    """(log odds, what kind of residue the passage is or ''). The model alone decides, by the whole passage or by its best stretch."""
     score = model.score(words, pairs)
-    if score <= THRESHOLD and (model.stretch(words) >= STRETCH_ODDS or trusted == 2):
-        score = TRUST
+    if score <= THRESHOLD and model.stretch(words) >= STRETCH_ODDS:
+        score = STRETCHED
     return score, ("slot" if "surelyslot" in key or "maybeslot" in key else "text") if score > THRESHOLD else ""
 
 
 def judge(model: Model, text: str | None) -> tuple[float, str]:
     """(highest log odds of a passage, what kind of residue it is or '') of one text."""
     keys = [normal(p) for p in passages_of(text)]
-    return max((judge_passage(model, k, is_trusted(k), *words_and_pairs(k)) for k in keys), default=(-50.0, ""))
+    return max((judge_passage(model, k, *words_and_pairs(k)) for k in keys), default=(-50.0, ""))
 
 
 def find_residue(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -326,10 +328,10 @@ def find_residue(documents: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            got = [judge_passage(m, k, t, *f) for k, t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _features(b, 2), strict=True)]
+            got = [judge_passage(m, k, *f) for k, f in zip(b.column(0).to_pylist(), _features(b, 1), strict=True)]
             hit = np.flatnonzero([bool(g[1]) for g in got])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([got[i][0] for i in hit], pa.float64()), pa.array([got[i][1] for i in hit], pa.string())], names=["key", "odds", "kind"])
 
-    hits = passages.select("key", "trusted", "words", "pairs").mapInArrow(run, "key string, odds double, kind string")
+    hits = passages.select("key", "words", "pairs").mapInArrow(run, "key string, odds double, kind string")
     best = rows.select("doc_id", "key").join(hits, "key").groupBy("doc_id").agg(F.max(F.struct("odds", "kind")).alias("b"))
     return best.select("doc_id", "b.odds", "b.kind")
