@@ -99,9 +99,22 @@ def solve(group: np.ndarray, node: np.ndarray, parent: np.ndarray) -> tuple[np.n
         h = rows[heavy[rows]]
         head[h], pos[h] = head[up[h]], pos[up[h]] + 1
         pre[rows] = pre[up[rows]] + 1 + before[rows]
+    # root and depth: those of the chain's head, chain by chain down the tree of chains, and the position in the chain
+    base, top = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    heads = np.flatnonzero(on_tree & (head == np.arange(n)))
+    first = heads[up[heads] < 0]
+    base[first], top[first] = 0, first
+    heads = heads[up[heads] >= 0]
+    while len(heads):  # log2(n) rounds at most
+        above = head[up[heads]]
+        ready = base[above] >= 0
+        h = heads[ready]
+        base[h], top[h] = base[above[ready]] + pos[up[h]] + 1, top[above[ready]]
+        heads = heads[~ready]
     bad = ~on_tree
+    root, depth = np.where(bad, -1, top[head]), np.where(bad, -1, base[head] + pos)
     head[bad], size[bad], pos[bad], pre[bad] = -1, 0, -1, -1
-    return np.where(on_tree, far, -1), head, depth, size, pos, pre, up
+    return root, head, depth, size, pos, pre, up
 
 
 def _paths(node: np.ndarray, head: np.ndarray, pos: np.ndarray, depth: np.ndarray, up: np.ndarray) -> np.ndarray:
@@ -167,8 +180,8 @@ def _local(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
 def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
     """The same for groups of any size, by joins on (group, node) only."""
     key = [*group, "node"]
-    on = lambda a, b, x, y: [*(a[g].eqNullSafe(b[g]) for g in group), a[x] == b[y]]
-    ids = nodes.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("node").alias("__id"))
+    # both sides of these joins grow with the data, and small files can be large tables: none is left to be broadcast
+    ids = nodes.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("node").alias("__id")).hint("merge")
     is_parent = [*(F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group), F.col("parent") == F.col("__id")]
     base = nodes.join(ids, is_parent, "left").select(*key, "parent", F.col("__id").alias("up"))
     # order, roots, sizes: before round k anc is the ancestor at distance 2 ** k of the nodes that deep
@@ -177,9 +190,9 @@ def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not left:
             break
-        u = state.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("node").alias("__id"), F.col("anc").alias("u_anc"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"))
+        u = state.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("node").alias("__id"), F.col("anc").alias("u_anc"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth")).hint("merge")
         to_anc = [*(F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group), F.col("anc") == F.col("__id")]
-        add = state.where("anc is not null").groupBy(*(F.col(g).alias(f"a_{g}") for g in group), F.col("anc").alias("a_id")).agg(F.sum("size").alias("add"))
+        add = state.where("anc is not null").groupBy(*(F.col(g).alias(f"a_{g}") for g in group), F.col("anc").alias("a_id")).agg(F.sum("size").alias("add")).hint("merge")
         to_add = [*(F.col(g).eqNullSafe(F.col(f"a_{g}")) for g in group), F.col("node") == F.col("a_id")]
         state = cut(
             state.join(u, to_anc, "left").join(add, to_add, "left").select(
@@ -199,14 +212,14 @@ def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
     tree, circles = state.where("root is not null"), state.where("root is null")
 
     # heavy links and chain heads
-    best = tree.where("up is not null").groupBy(*(F.col(g).alias(f"h_{g}") for g in group), F.col("up").alias("h_up")).agg(F.min(F.struct((-F.col("size")).alias("s"), "node")).alias("h"))
+    best = tree.where("up is not null").groupBy(*(F.col(g).alias(f"h_{g}") for g in group), F.col("up").alias("h_up")).agg(F.min(F.struct((-F.col("size")).alias("s"), "node")).alias("h")).hint("merge")
     to_best = [*(F.col(g).eqNullSafe(F.col(f"h_{g}")) for g in group), F.col("up") == F.col("h_up")]
     chain = cut(
         tree.join(best, to_best, "left").withColumn("heavy", F.coalesce(F.col("h.node") == F.col("node"), F.lit(False)))
         .select(*key, "parent", "up", "root", "depth", "size", "heavy", F.col("h.s").alias("heavy_size"), F.col("h.node").alias("heavy_node"), F.when(F.col("heavy"), F.col("up")).otherwise(F.col("node")).alias("head"), F.when(F.col("heavy"), 1).otherwise(0).alias("pos"))
     )
     for _ in range(MAX_ROUNDS):
-        u = chain.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("node").alias("__id"), F.col("head").alias("u_head"), F.col("pos").alias("u_pos"))
+        u = chain.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("node").alias("__id"), F.col("head").alias("u_head"), F.col("pos").alias("u_pos")).hint("merge")
         to_head = [*(F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group), F.col("head") == F.col("__id"), F.col("heavy")]
         nxt = cut(chain.join(u, to_head, "left").withColumn("moved", F.coalesce(F.col("u_pos"), F.lit(0))).withColumn("head", F.coalesce("u_head", "head")).withColumn("pos", F.col("pos") + F.col("moved")).drop("u_head", "u_pos", "__id", *(f"__{g}" for g in group)), chain)
         chain = nxt
@@ -219,11 +232,11 @@ def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
     in_bucket = Window.partitionBy(*group, "up", "bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = light.groupBy(*group, "up", "bucket").agg(F.sum("size").alias("total"))
     offsets = per_bucket.select(*group, "up", "bucket", F.coalesce(F.sum("total").over(Window.partitionBy(*group, "up").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("bucket_before"))
-    light = light.withColumn("inside", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).join(offsets.select(*(F.col(g).alias(f"o_{g}") for g in group), F.col("up").alias("o_up"), F.col("bucket").alias("o_bucket"), "bucket_before"), [*(F.col(g).eqNullSafe(F.col(f"o_{g}")) for g in group), F.col("up") == F.col("o_up"), F.col("bucket") == F.col("o_bucket")])
+    light = light.withColumn("inside", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).join(offsets.select(*(F.col(g).alias(f"o_{g}") for g in group), F.col("up").alias("o_up"), F.col("bucket").alias("o_bucket"), "bucket_before").hint("merge"), [*(F.col(g).eqNullSafe(F.col(f"o_{g}")) for g in group), F.col("up") == F.col("o_up"), F.col("bucket") == F.col("o_bucket")])
     # a chain head's own step from its parent
     steps = light.select(*group, "node", F.col("up").alias("link"), (1 - F.col("heavy_size") + F.col("inside") + F.col("bucket_before")).alias("gap"))
     heads = chain.where("node = head and up is null").select(*group, "node", F.lit(None).cast("string").alias("link"), F.lit(0).cast("long").alias("gap")).unionByName(steps)
-    at = chain.select(*(F.col(g).alias(f"c_{g}") for g in group), F.col("node").alias("c_id"), F.col("head").alias("c_head"), F.col("pos").alias("c_pos"))
+    at = chain.select(*(F.col(g).alias(f"c_{g}") for g in group), F.col("node").alias("c_id"), F.col("head").alias("c_head"), F.col("pos").alias("c_pos")).hint("merge")
     heads = heads.join(at, [*(F.col(g).eqNullSafe(F.col(f"c_{g}")) for g in group), F.col("link") == F.col("c_id")], "left").select(*group, "node", "link", "gap", "c_head", "c_pos")
     if with_path:
         seg = chain.groupBy(*(F.col(g).alias(f"s_{g}") for g in group), F.col("head").alias("s_head")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("segment"))
@@ -232,21 +245,21 @@ def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
         heads = heads.select(*group, "node", "c_head", "c_pos", "gap", F.array().cast("array<string>").alias("segment"))
     heads = cut(heads)
     # resolve the tree of chains level by level: log2(n) levels at most
-    level = cut(heads.where("c_head is null").select(*group, "node", F.lit(0).cast("long").alias("start"), F.array().cast("array<string>").alias("prefix"), "segment"))
+    level = cut(heads.where("c_head is null").select(*group, "node", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("base"), F.col("node").alias("top"), F.array().cast("array<string>").alias("prefix"), "segment"))
     levels = [level]
     for _ in range(MAX_ROUNDS):
-        p = level.select(*(F.col(g).alias(f"p_{g}") for g in group), F.col("node").alias("p_node"), F.col("start").alias("p_start"), F.col("prefix").alias("p_prefix"), F.col("segment").alias("p_segment"))
+        p = level.select(*(F.col(g).alias(f"p_{g}") for g in group), F.col("node").alias("p_node"), F.col("start").alias("p_start"), F.col("base").alias("p_base"), F.col("top").alias("p_top"), F.col("prefix").alias("p_prefix"), F.col("segment").alias("p_segment")).hint("merge")
         on_parent = [*(F.col(g).eqNullSafe(F.col(f"p_{g}")) for g in group), F.col("c_head") == F.col("p_node")]
-        level = cut(heads.join(p, on_parent).select(*group, "node", (F.col("p_start") + F.col("c_pos") + F.col("gap")).alias("start"), F.concat("p_prefix", F.slice("p_segment", 1, F.col("c_pos") + 1)).alias("prefix"), "segment"))
+        level = cut(heads.join(p, on_parent).select(*group, "node", (F.col("p_start") + F.col("c_pos") + F.col("gap")).alias("start"), (F.col("p_base") + F.col("c_pos") + 1).alias("base"), F.col("p_top").alias("top"), F.concat("p_prefix", F.slice("p_segment", 1, F.col("c_pos") + 1)).alias("prefix"), "segment"))
         if level.isEmpty():
             break
         levels.append(level)
     starts = levels[0]
     for x in levels[1:]:
         starts = starts.unionByName(x)
-    starts = starts.select(*(F.col(g).alias(f"z_{g}") for g in group), F.col("node").alias("z_head"), "start", "prefix", "segment")
+    starts = starts.select(*(F.col(g).alias(f"z_{g}") for g in group), F.col("node").alias("z_head"), "start", "base", "top", "prefix", "segment").hint("merge")
     on_head = [*(F.col(g).eqNullSafe(F.col(f"z_{g}")) for g in group), F.col("head") == F.col("z_head")]
-    out = [*key, "parent", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.col("size").alias("subtree_size"), F.col("head").alias("head_id"), F.col("pos").cast("int").alias("position"), (F.col("start") + F.col("pos")).alias("preorder")]
+    out = [*key, "parent", F.col("top").alias("root_id"), (F.col("base") + F.col("pos")).cast("int").alias("depth"), F.col("size").alias("subtree_size"), F.col("head").alias("head_id"), F.col("pos").cast("int").alias("position"), (F.col("start") + F.col("pos")).alias("preorder")]
     path = [F.concat("prefix", F.slice("segment", 1, F.col("pos") + 1)).alias("path")] if with_path else []
     solved = chain.join(starts, on_head).select(*out, *path)
     rest = circles.select(*key, "parent", F.lit("").alias("root_id"), F.lit(-1).alias("depth"), F.lit(0).cast("long").alias("subtree_size"), F.lit("").alias("head_id"), F.lit(-1).alias("position"), F.lit(-1).cast("long").alias("preorder"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else []))
@@ -271,6 +284,17 @@ def hierarchy(nodes: DataFrame, group: list[str], with_path: bool = False, local
     return _local(nodes.join(large, same, "left_anti"), group, with_path).unionByName(_spread(nodes.join(large, same, "left_semi"), group, with_path))
 
 
-def descendants(solved: DataFrame, group: list[str]) -> DataFrame:
-    """One row per node and descendant, out of paths: group columns, node, descendant, distance. Needs with_path."""
-    return solved.where("depth > 0").select(*group, F.col("node").alias("descendant"), F.posexplode(F.slice("path", 1, F.col("depth"))).alias("at", "node"), "depth").select(*group, "node", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+def descendants(solved: DataFrame, group: list[str], block: int = 64) -> DataFrame:
+    """One row per node and descendant: group columns, node, descendant, distance.
+
+    A node's descendants are those of its root in one interval of the preorder. The interval is cut at multiples of block, so that
+    nodes meet the descendants of their own block only: the work follows the rows that come out.
+    """
+    at = solved.where("depth >= 0").select(*group, "root_id", "node", "depth", "preorder", "subtree_size")
+    over = at.where("subtree_size > 1").select(
+        *(F.col(g).alias(f"a_{g}") for g in group), F.col("root_id").alias("a_root"), "node", F.col("depth").alias("a_depth"), F.col("preorder").alias("first"), (F.col("preorder") + F.col("subtree_size")).alias("end"),
+        F.explode(F.sequence(F.floor((F.col("preorder") + 1) / block), F.floor((F.col("preorder") + F.col("subtree_size") - 1) / block))).alias("a_block"),
+    )
+    under = at.select(*group, "root_id", F.col("node").alias("descendant"), "depth", "preorder", F.floor(F.col("preorder") / block).alias("block"))
+    same = [*(F.col(g).eqNullSafe(F.col(f"a_{g}")) for g in group), F.col("root_id") == F.col("a_root"), F.col("block") == F.col("a_block"), F.col("preorder") > F.col("first"), F.col("preorder") < F.col("end")]
+    return under.join(over, same).select(*group, "node", "descendant", (F.col("depth") - F.col("a_depth")).alias("distance"))

@@ -92,7 +92,7 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    solved = hierarchy.hierarchy(_nodes(spark, d), GROUP, with_path=True)
+    solved = hierarchy.hierarchy(_nodes(spark, d), GROUP)
     return hierarchy.descendants(solved, GROUP).select(*GROUP, F.col("node").alias("span_id"), F.col("descendant").alias("descendant_span_id"), "distance")
 
 
@@ -122,6 +122,10 @@ select n.source_kind, n.trace_id, n.id span_id, coalesce(w.root, '') root_span_i
 }
 
 _WALK = SQL["p5_found"]
+SQL["p5_descendants"] = _WALK.rpartition("\nselect n.source_kind")[0] + """,
+pairs as (select u.source_kind, u.trace_id, u.id, u.up node, 1 distance from up u join walk w using (source_kind, trace_id, id) where u.up is not null
+ union all select p.source_kind, p.trace_id, p.id, u.up, p.distance + 1 from pairs p join up u on u.source_kind = p.source_kind and u.trace_id = p.trace_id and u.id = p.node where u.up is not null)
+select source_kind, trace_id, node span_id, id descendant_span_id, distance from pairs"""
 SQL["p5_circles"] = f"select source_kind, trace_id, count(*) spans_on_or_below_circles from ({_WALK}) where depth < 0 group by all"
 _CHILDREN = "unnest(case json_type({0}, '$.{1}') when 'ARRAY' then json_extract({0}, '$.{1}[*]') when 'OBJECT' then [json_extract({0}, '$.{1}')] else [] end)"
 _PLACES = "unnest(range(cast(case json_type({0}, '$.{1}') when 'ARRAY' then json_array_length({0}, '$.{1}') when 'OBJECT' then 1 else 0 end as bigint)))"
