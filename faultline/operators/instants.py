@@ -2,9 +2,9 @@
 
 A value is read in three steps: its form gives a local date and time (or an epoch number), its suffix gives
 an offset, a zone name or an abbreviation, and where it has none the zone of its source is used. Zones of
-sources that do not declare one are estimated: every candidate zone (an offset history) converts the
-source's zoneless values, and the history with the fewest violations wins, a violation being a start
-after its record was received or outside the span of the record's zoned starts.
+sources are settled by their values: a candidate zone (an offset history) converts the source's zoneless
+values, a violation is a start after its record was received or outside the span of the record's zoned starts, and the
+history with the fewest violations wins. A declared zone is tried first and stands unless most values violate it.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from zoneinfo import ZoneInfo, available_timezones
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.runtime import bounded_broadcast, canonical_source
+from faultline.runtime import bounded_broadcast, canonical_source, cut
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 DAY_US = 86_400_000_000
 #: How far outside the zoned starts of its record a start may lie, in microseconds (zones differ by 15 minutes at least).
 SLACK_US = 10 * 60 * 1_000_000
+#: A declared zone that more than this share of its source's zoneless values violate is not believed.
+DISTRUST = 0.5
 
 
 def abbreviations(zones: list[str]) -> dict[str, int]:
@@ -97,31 +99,31 @@ def _zone_us(local_us: Column, zone: Column) -> Column:
 def read_instants(rows: DataFrame, raw: str, sources: DataFrame, source: str, received: str | None = None, record: str | None = None) -> DataFrame:
     """rows with start_us (bigint, null where raw cannot be read) and zone_used.
 
-    sources: source, time_zone, day_month_order (a null or unknown zone is estimated, see estimate_zones; that
-    needs received and record). A row whose source is not in sources reads as UTC and ymd. Session zone: UTC.
+    sources: source, time_zone, day_month_order; of rows of one source the greatest counts. With received and record the zone
+    of every source is the offset history that its values violate least: a declared zone stands unless more than DISTRUST of the
+    values violate it, a null, unknown or distrusted one is estimated among all candidates, and so is that of a source
+    that sources lacks. Without them such a source reads as UTC, as does a row without a source. Session zone: UTC.
     """
-    cols = rows.columns
-    known = {r["source"]: (r["time_zone"], r["day_month_order"]) for r in sources.select(canonical_source(F.col("source")).alias("source"), "time_zone", "day_month_order").limit(10_000).collect()}
-    zones = {z for z, _ in known.values() if z in available_timezones()} | {"UTC"}
-    spec = sources.sparkSession.createDataFrame([(s, z if z in available_timezones() else None, o) for s, (z, o) in known.items()], "__source string, __zone string, __order string")
+    cols, spark = rows.columns, sources.sparkSession
+    valid = F.broadcast(spark.createDataFrame([(z,) for z in sorted(available_timezones())], "__valid string"))  # some 600 names
+    spec = sources.where("source is not null").groupBy(canonical_source(F.col("source")).alias("__source")).agg(F.max(F.struct("time_zone", "day_month_order")).alias("s"))
+    spec = cut(spec.join(valid, F.col("s.time_zone") == F.col("__valid"), "left").select("__source", F.col("__valid").alias("__declared"), F.col("s.day_month_order").alias("__order")))
     read = rows.withColumn("__source", canonical_source(F.col(source))).join(bounded_broadcast(spec), "__source", "left")
-    read = parse_instant(read.select(*cols, "__source", "__zone", "__order"), raw, "__order")
-    if any(z not in available_timezones() for z, _ in known.values()) and received and record:
-        blind = read.where("__source is not null and __zone is null")
-        found = [(r["__source"], r["zone"]) for r in estimate_zones(blind, candidates(sources.sparkSession), received, record).limit(10_000).collect()]
-        zones |= {z for _, z in found}
-        estimated = sources.sparkSession.createDataFrame(found, "__source string, __estimated string")
-        read = read.join(bounded_broadcast(estimated), "__source", "left")
-    else:
-        read = read.withColumn("__estimated", F.lit(None).cast("string"))
-    zones = sorted(zones)
+    read = parse_instant(read.select(*cols, "__source", "__declared", "__order"), raw, "__order")
+    zone = spec.select(F.col("__source").alias("__of"), F.col("__declared").alias("__zone"))
+    if received and record:
+        read = cut(read)  # parsed once, for the estimates and the result
+        best = settle_zones(read.where("__source is not null"), received, record)
+        zone = cut(best.select(F.col("__source").alias("__of"), F.col("zone").alias("__zone")).unionByName(zone.join(best, F.col("__of") == F.col("__source"), "left_anti")))
+    read = read.drop("__zone").join(bounded_broadcast(zone), F.col("__source") == F.col("__of"), "left")
+    zones = sorted({"UTC"} | {r["__zone"] for r in zone.select("__zone").distinct().collect() if r["__zone"]})  # at most all zones there are
     # a few rows for each of the zones of the sources
-    offsets = sources.sparkSession.createDataFrame([(k, v) for k, v in abbreviations(zones).items()], "__abbr string, __abbr_s int")
+    offsets = spark.createDataFrame([(k, v) for k, v in abbreviations(zones).items()], "__abbr string, __abbr_s int")
     text = F.col("__zone_text")
     named = F.when(text.contains("/"), text)
     read = read.select(
-        *cols, "__epoch_us", "__local_us", "__offset_s", "__zone_text", F.when(named.isin(*zones), named).otherwise(F.coalesce("__zone", "__estimated", F.lit("UTC"))).alias("zone_used"),
-        F.when(text.isNotNull() & named.isNull(), F.concat_ws("|", F.when(F.upper(text).isin("UTC", "GMT", "Z", "UT"), F.lit("UTC")).otherwise(F.coalesce("__zone", "__estimated", F.lit("UTC"))), F.when(F.upper(text).isin("UTC", "GMT", "Z", "UT"), F.lit("UTC")).otherwise(F.upper(text)))).alias("__key"),
+        *cols, "__epoch_us", "__local_us", "__offset_s", "__zone_text", F.when(named.isin(*zones), named).otherwise(F.coalesce("__zone", F.lit("UTC"))).alias("zone_used"),
+        F.when(text.isNotNull() & named.isNull(), F.concat_ws("|", F.when(F.upper(text).isin("UTC", "GMT", "Z", "UT"), F.lit("UTC")).otherwise(F.coalesce("__zone", F.lit("UTC"))), F.when(F.upper(text).isin("UTC", "GMT", "Z", "UT"), F.lit("UTC")).otherwise(F.upper(text)))).alias("__key"),
     ).join(bounded_broadcast(offsets), F.col("__key") == F.col("__abbr"), "left")
     explicit = F.coalesce("__offset_s", "__abbr_s")
     # an abbreviation that is neither UTC's nor the source's zone's cannot be read
@@ -136,20 +138,34 @@ def candidates(spark: SparkSession) -> list[str]:
     return sorted(z for z in available_timezones() & known if z == "UTC" or "/" in z and not z.startswith(("Etc/", "SystemV/")))
 
 
-def estimate_zones(read: DataFrame, zones: list[str], received: str, record: str) -> DataFrame:
-    """Per source the zone of the list with the fewest violations: __source, zone, violations, values.
+def settle_zones(read: DataFrame, received: str, record: str) -> DataFrame:
+    """Per source with zoneless values its zone: the declared one (__declared) where it stands, else the best of all candidates."""
+    lines = cut(record_lines(read, received, record))
+    own = estimate_zones(lines, F.array("__declared"))
+    stands = own.where(F.col("zone").isNotNull() & (F.col("violations") <= DISTRUST * F.col("values")))
+    doubtful = lines.join(stands.select(F.col("__source").alias("__ok")), F.col("__source") == F.col("__ok"), "left_anti")
+    found = estimate_zones(doubtful, F.array(*map(F.lit, candidates(read.sparkSession))))
+    return stands.unionByName(found)
 
-    read: rows of parse_instant (columns __source, __epoch_us, __local_us, __offset_s, __zone_text). One
-    pass that adds up violations of all candidates, then one row per source and zone. Ties go to the
-    smaller mean distance to the zoned starts of the record, then by name.
-    """
+
+def record_lines(read: DataFrame, received: str, record: str) -> DataFrame:
+    """One row per record and source: what its zoned and zoneless starts span. read: rows of parse_instant."""
     fixed = F.coalesce(F.col("__epoch_us"), F.col("__local_us") - F.col("__offset_s") * 1_000_000)
     bare = F.col("__local_us").isNotNull() & F.col("__offset_s").isNull() & F.col("__zone_text").isNull()
-    per_record = read.groupBy("__source", record).agg(
+    declared = F.max("__declared") if "__declared" in read.columns else F.lit(None).cast("string")
+    return read.groupBy("__source", record).agg(
         F.min(fixed).alias("lo"), F.max(fixed).alias("hi"), F.max(F.unix_micros(F.col(received))).alias("received_us"),
-        F.min(F.when(bare, F.col("__local_us"))).alias("bare_lo"), F.max(F.when(bare, F.col("__local_us"))).alias("bare_hi"), F.count(F.when(bare, 1)).alias("n"),
-    )
-    tried = per_record.where("n > 0").withColumn("zone", F.explode(F.array(*map(F.lit, zones))))
+        F.min(F.when(bare, F.col("__local_us"))).alias("bare_lo"), F.max(F.when(bare, F.col("__local_us"))).alias("bare_hi"), F.count(F.when(bare, 1)).alias("n"), declared.alias("__declared"),
+    ).where("n > 0")
+
+
+def estimate_zones(lines: DataFrame, zones: Column) -> DataFrame:
+    """Per source the zone of the array zones with the fewest violations: __source, zone, violations, values.
+
+    lines: rows of record_lines. One pass that adds up violations of all candidates, then one row per source and zone. Ties go to the
+    smaller mean distance to the zoned starts of the record, then by name.
+    """
+    tried = lines.withColumn("zone", F.explode_outer(zones))
     lo, hi = _zone_us(F.col("bare_lo"), F.col("zone")), _zone_us(F.col("bare_hi"), F.col("zone"))
     late = F.coalesce(hi > F.col("received_us"), F.lit(False))
     away = F.coalesce((hi > F.col("hi") + 6 * SLACK_US) | (lo < F.col("lo") - 6 * SLACK_US), F.lit(False))

@@ -19,24 +19,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     spans = nested.shred_records(records, ["spanId", "span_id", "start_time", "startTimeUnixNano", "timestamp"], [nested.OI_SPANS, nested.TOP_SPANS, nested.CHILD_SPANS], ("received_at",)).where("not is_null")
     f = F.col("fields")
     spans = spans.select("record_id", "source", "received_at", F.coalesce(f["span_id"], f["spanId"]).alias("span_id"), F.coalesce(f["start_time"], f["startTimeUnixNano"], f["timestamp"]).alias("start"))
-    # a source that upload_sources lacks is one without a declared zone
-    name = instants.canonical_source(F.col("source"))
-    absent = records.where("source is not null").select(name.alias("source")).distinct().join(sources.select(name.alias("source")), "source", "left_anti")
-    sources = sources.unionByName(absent, allowMissingColumns=True)
     return instants.read_instants(spans.where("span_id is not null"), "start", sources, "source", "received_at", "record_id").where("start_us is not null").select("record_id", "span_id", "start_us")
 
 
 def p2_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
-    """The zone of every source as its values alone show it, next to the declared one."""
-    records = table(spark, d, "raw_records")
-    spans = nested.span_table(records).join(records.select(F.col("record_id").alias("rid"), "received_at"), F.col("record_id") == F.col("rid")).drop("rid")
-    sources = table(spark, d, "upload_sources")
-    order = sources.select(instants.canonical_source(F.col("source")).alias("__source"), F.col("day_month_order").alias("__order"), "time_zone")
-    read = spans.withColumn("__source", instants.canonical_source(F.col("source"))).join(F.broadcast(order.limit(10_000)), "__source", "left")
-    read = instants.parse_instant(read.select("record_id", "received_at", "__source", "start", "__order"), "start", "__order")
-    zones = sorted({r["time_zone"] for r in sources.select("time_zone").distinct().limit(1000).collect() if r["time_zone"]})
-    best = instants.estimate_zones(read, zones, "received_at", "record_id")
-    return best.join(order.select("__source", F.col("time_zone").alias("declared_zone")), "__source", "left").select(F.col("__source").alias("source"), F.col("zone").alias("estimated_zone"), "declared_zone", "violations", "values")
+    """The zone of every source as its values alone show it among all candidates, next to the declared one."""
+    records, sources = table(spark, d, "raw_records"), table(spark, d, "upload_sources")
+    spans = nested.shred_records(records, ["start_time", "startTimeUnixNano", "timestamp"], [nested.OI_SPANS, nested.TOP_SPANS, nested.CHILD_SPANS], ("received_at",)).where("not is_null")
+    f = F.col("fields")
+    order = sources.groupBy(instants.canonical_source(F.col("source")).alias("__source")).agg(F.max("day_month_order").alias("__order"), F.max("time_zone").alias("declared_zone"))
+    read = spans.select("record_id", "received_at", instants.canonical_source(F.col("source")).alias("__source"), F.coalesce(f["start_time"], f["startTimeUnixNano"], f["timestamp"]).alias("start")).join(order, "__source", "left")
+    lines = instants.record_lines(instants.parse_instant(read, "start", "__order"), "received_at", "record_id")
+    best = instants.estimate_zones(lines.where("__source is not null"), F.array(*map(F.lit, instants.candidates(spark))))
+    return best.join(order, "__source", "left").select(F.col("__source").alias("source"), F.col("zone").alias("estimated_zone"), "declared_zone", "violations", "values")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -74,3 +74,16 @@ def test_zone_of_an_absent_source_is_estimated_in_p2_found(spark, tmp_path):
     spark.createDataFrame(SOURCES, "source string, time_zone string, day_month_order string").write.parquet(str(tmp_path / "upload_sources.parquet"))
     got = {r.span_id: r.start_us for r in p2_found(spark, str(tmp_path)).collect()}
     assert len(got) == 48 and all(got[k] == v for k, v in truth.items())
+
+
+def test_a_declared_zone_that_the_values_belie_is_not_believed(spark):
+    rows = []
+    for i in range(30):
+        t = us(2026, 1, 1 + i % 28, 6, i)
+        for raw in (D.datetime.fromtimestamp(t / 1e6, ZoneInfo("Asia/Tokyo")).strftime("%Y-%m-%d %H:%M:%S"), D.datetime.fromtimestamp(t / 1e6 + 5, D.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")):
+            rows.append((i, "liar", raw, D.datetime.fromtimestamp(t / 1e6 + 60, D.timezone.utc), t))
+    df = spark.createDataFrame(rows, "record_id long, source string, raw string, received_at timestamp, truth long")
+    declared = spark.createDataFrame([("liar", "America/Denver", "ymd"), (" LIAR", None, None), (None, "UTC", "ymd")], "source string, time_zone string, day_month_order string")
+    got = read_instants(df, "raw", declared, "source", "received_at", "record_id").collect()
+    assert all(abs(r.start_us - r.truth) <= 5_000_000 for r in got)
+    assert read_instants(df.limit(0), "raw", declared, "source", "received_at", "record_id").count() == 0
