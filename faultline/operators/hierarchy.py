@@ -50,10 +50,11 @@ def distinct_nodes(rows: DataFrame, group: list[str], node: str, parent: str) ->
     return rows.where(F.col(node).isNotNull()).groupBy(*group, F.col(node).alias("node")).agg(F.min(parent).alias("parent"))
 
 
-def solve(group: np.ndarray, node: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, ...]:
+def solve(group: np.ndarray, node: np.ndarray, parent: np.ndarray, order_by: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Row numbers of root and chain head, depth, subtree size, position and preorder of every row (root and head -1, depth -1 on or below a circle).
 
-    group: codes; node, parent: strings (None for no parent). Rows are distinct in (group, node).
+    group: codes; node, parent: strings (None for no parent). Rows are distinct in (group, node). The preorder takes siblings heavy one
+    first, or by (order_by, node).
     """
     n = len(node)
     ids = pd.factorize(np.concatenate([node, parent]), use_na_sentinel=True)[0].astype(np.int64)
@@ -91,6 +92,9 @@ def solve(group: np.ndarray, node: np.ndarray, parent: np.ndarray) -> tuple[np.n
 
     head, pos, pre = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
     before = np.zeros(n, np.int64)  # sizes of the siblings that come first
+    if len(kids) and order_by is not None:
+        kids = inner[np.lexsort((node[inner].astype(str), order_by[inner], up[inner]))]
+        first = np.r_[True, up[kids[1:]] != up[kids[:-1]]]
     if len(kids):
         run = np.cumsum(size[kids]) - size[kids]
         start = np.maximum.accumulate(np.where(first, np.arange(len(kids)), 0))
@@ -132,8 +136,8 @@ def _paths(node: np.ndarray, head: np.ndarray, pos: np.ndarray, depth: np.ndarra
     return out
 
 
-def _local(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
-    schema = ", ".join([*(f"`{g}` {t}" for g, t in nodes.select(*group).dtypes), "node string, parent string", COLUMNS, *(["path array<string>"] if with_path else [])])
+def _local(nodes: DataFrame, group: list[str], with_path: bool, ordered: bool) -> DataFrame:
+    schema = ", ".join([*(f"`{g}` {t}" for g, t in nodes.select(*group).dtypes), "node string, parent string, order_by long, label string", COLUMNS, *(["path array<string>"] if with_path else [])])
     k = len(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +148,11 @@ def _local(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
             f = t.to_pandas()
             code = f.groupby(group, sort=False, dropna=False).ngroup().to_numpy(np.int64)
             node, parent = f["node"].to_numpy(object), f["parent"].to_numpy(object)
-            root, head, depth, size, pos, pre, up = solve(code, node, parent)
+            root, head, depth, size, pos, pre, up = solve(code, node, parent, f["order_by"].to_numpy(np.int64) if ordered else None)
             pick = lambda at: pa.array(np.where(at < 0, "", node[at]), pa.string())
             cols = [pick(root), pa.array(depth, pa.int32()), pa.array(size, pa.int64()), pick(head), pa.array(pos, pa.int32()), pa.array(pre, pa.int64())]
             if with_path:
-                cols.append(pa.array(_paths(node, head, pos, depth, up), pa.list_(pa.string())))
+                cols.append(pa.array(_paths(f["label"].to_numpy(object), head, pos, depth, up), pa.list_(pa.string())))
             names = ["root_id", "depth", "subtree_size", "head_id", "position", "preorder", "path"][: len(cols)]
             for c, v in zip(names, cols, strict=True):
                 t = t.append_column(c, v)
@@ -173,19 +177,41 @@ def _local(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
         if rows:
             yield from done(pa.concat_tables(held))
 
-    by_group = nodes.select(*group, "node", "parent").repartition(*group).sortWithinPartitions(*group)
+    by_group = nodes.select(*group, "node", "parent", "order_by", "label").repartition(*group).sortWithinPartitions(*group)
     return by_group.mapInArrow(run, schema)
 
 
-def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with name, the sum of value over all rows of the same keys that come before in the order, which has to follow the bucket.
+
+    Keys may be null and hold any number of rows: a task orders one bucket, and a bucket's offset comes from the buckets before.
+    """
+    rows = rows.withColumn("__bucket", bucket)
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys, "__bucket").agg(F.sum(value).alias("__total")).select(*(F.col(c).alias(f"__o_{c}") for c in keys), F.col("__bucket").alias("__o_bucket"), F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
+    same = [*(F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in keys), F.col("__bucket").eqNullSafe(F.col("__o_bucket"))]
+    summed = rows.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets.hint("merge"), same)
+    return summed.withColumn(name, F.col("__inside") + F.col("__offset")).drop("__bucket", "__inside", "__offset", "__o_bucket", *(f"__o_{c}" for c in keys))
+
+
+def sibling_buckets(rows: DataFrame, keys: list[str], order: str, buckets: int = 1024) -> DataFrame:
+    """rows with __slot: which of so many equal stretches of the siblings' order a row lies in."""
+    ends = rows.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi")).select(*(F.col(c).alias(f"__r_{c}") for c in keys), "__lo", "__hi")
+    at = rows.join(ends.hint("merge"), [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys])
+    slot = F.floor((F.col(order) - F.col("__lo")).cast("double") / (F.col("__hi") - F.col("__lo") + 1).cast("double") * buckets)
+    return at.withColumn("__slot", slot).drop("__lo", "__hi", *(f"__r_{c}" for c in keys))
+
+
+def _spread(nodes: DataFrame, group: list[str], with_path: bool, ordered: bool) -> DataFrame:
     """The same for groups of any size, by joins on (group, node) only."""
     key = [*group, "node"]
     # both sides of these joins grow with the data, and small files can be large tables: none is left to be broadcast
     ids = nodes.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("node").alias("__id")).hint("merge")
     is_parent = [*(F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group), F.col("parent") == F.col("__id")]
-    base = nodes.join(ids, is_parent, "left").select(*key, "parent", F.col("__id").alias("up"))
+    base = nodes.join(ids, is_parent, "left").select(*key, "parent", "order_by", "label", F.col("__id").alias("up"))
     # order, roots, sizes: before round k anc is the ancestor at distance 2 ** k of the nodes that deep
-    state = cut(base.select(*key, "parent", "up", F.col("up").alias("anc"), F.when(F.col("up").isNull(), F.col("node")).alias("root"), F.when(F.col("up").isNull(), 0).alias("depth"), F.lit(1).cast("long").alias("size")))
+    state = cut(base.select(*key, "parent", "order_by", "label", "up", F.col("up").alias("anc"), F.when(F.col("up").isNull(), F.col("node")).alias("root"), F.when(F.col("up").isNull(), 0).alias("depth"), F.lit(1).cast("long").alias("size")))
     left, step = state.where("anc is not null").count(), 1
     for _ in range(MAX_ROUNDS):
         if not left:
@@ -196,7 +222,7 @@ def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
         to_add = [*(F.col(g).eqNullSafe(F.col(f"a_{g}")) for g in group), F.col("node") == F.col("a_id")]
         state = cut(
             state.join(u, to_anc, "left").join(add, to_add, "left").select(
-                *key, "parent", "up",
+                *key, "parent", "order_by", "label", "up",
                 F.when(F.col("u_root").isNull(), F.col("u_anc")).alias("anc"),
                 F.coalesce("root", "u_root").alias("root"),
                 F.coalesce("depth", F.col("u_depth") + step).alias("depth"),
@@ -214,35 +240,38 @@ def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
     # heavy links and chain heads
     best = tree.where("up is not null").groupBy(*(F.col(g).alias(f"h_{g}") for g in group), F.col("up").alias("h_up")).agg(F.min(F.struct((-F.col("size")).alias("s"), "node")).alias("h")).hint("merge")
     to_best = [*(F.col(g).eqNullSafe(F.col(f"h_{g}")) for g in group), F.col("up") == F.col("h_up")]
+    marked = cut(tree.join(best, to_best, "left").withColumn("heavy", F.coalesce(F.col("h.node") == F.col("node"), F.lit(False))).select(*key, "parent", "order_by", "label", "up", "size", "heavy", F.coalesce(-F.col("h.s"), F.lit(0)).alias("heavy_size")))
+    # how far a node's preorder is from its parent's: its earlier siblings' sizes, and one. Siblings are summed in
+    # buckets, so that a node with very many children is no single task's work.
+    below = marked.where("up is not null")
+    if ordered:
+        steps = running(sibling_buckets(below, [*group, "up"], "order_by"), [*group, "up"], F.col("__slot"), ["order_by", "node"], "size", "before").select(*key, (F.col("before") + 1).alias("gap"))
+    else:  # the heavy one comes first
+        light = running(below.where("not heavy"), [*group, "up"], F.pmod(F.xxhash64("node"), F.lit(1024)), ["node"], "size", "before").select(*key, (F.col("before") + F.col("heavy_size") + 1).alias("gap"))
+        steps = light.unionByName(below.where("heavy").select(*key, F.lit(1).cast("long").alias("gap")))
+    steps = steps.select(*(F.col(g).alias(f"g_{g}") for g in group), F.col("node").alias("g_id"), "gap").hint("merge")
     chain = cut(
-        tree.join(best, to_best, "left").withColumn("heavy", F.coalesce(F.col("h.node") == F.col("node"), F.lit(False)))
-        .select(*key, "parent", "up", "root", "depth", "size", "heavy", F.col("h.s").alias("heavy_size"), F.col("h.node").alias("heavy_node"), F.when(F.col("heavy"), F.col("up")).otherwise(F.col("node")).alias("head"), F.when(F.col("heavy"), 1).otherwise(0).alias("pos"))
+        marked.join(steps, [*(F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in group), F.col("node") == F.col("g_id")], "left")
+        .select(*key, "parent", "order_by", "label", "up", "size", "heavy", F.coalesce("gap", F.lit(0)).alias("gap"), F.when(F.col("heavy"), F.col("up")).otherwise(F.col("node")).alias("head"), F.when(F.col("heavy"), 1).otherwise(0).alias("pos"), F.when(F.col("heavy"), F.col("gap")).otherwise(F.lit(0)).cast("long").alias("adv")),
+        marked,
     )
     for _ in range(MAX_ROUNDS):
-        u = chain.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("node").alias("__id"), F.col("head").alias("u_head"), F.col("pos").alias("u_pos")).hint("merge")
+        u = chain.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("node").alias("__id"), F.col("head").alias("u_head"), F.col("pos").alias("u_pos"), F.col("adv").alias("u_adv")).hint("merge")
         to_head = [*(F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group), F.col("head") == F.col("__id"), F.col("heavy")]
-        nxt = cut(chain.join(u, to_head, "left").withColumn("moved", F.coalesce(F.col("u_pos"), F.lit(0))).withColumn("head", F.coalesce("u_head", "head")).withColumn("pos", F.col("pos") + F.col("moved")).drop("u_head", "u_pos", "__id", *(f"__{g}" for g in group)), chain)
-        chain = nxt
+        nxt = chain.join(u, to_head, "left").withColumns({"moved": F.coalesce(F.col("u_pos"), F.lit(0)), "head": F.coalesce("u_head", "head")})
+        nxt = nxt.withColumns({"pos": F.col("pos") + F.col("moved"), "adv": F.col("adv") + F.coalesce(F.col("u_adv"), F.lit(0))})
+        chain = cut(nxt.drop("u_head", "u_pos", "u_adv", "__id", *(f"__{g}" for g in group)), chain)
         if chain.where("moved > 0").isEmpty():
             break
 
-    # preorder, heavy child first: a light child comes after the heavy one and the light ones before it.
-    # Siblings are summed in buckets, so that a node with very many children is no single task's work.
-    light = chain.where("not heavy and up is not null").withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(1024)))
-    in_bucket = Window.partitionBy(*group, "up", "bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = light.groupBy(*group, "up", "bucket").agg(F.sum("size").alias("total"))
-    offsets = per_bucket.select(*group, "up", "bucket", F.coalesce(F.sum("total").over(Window.partitionBy(*group, "up").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("bucket_before"))
-    light = light.withColumn("inside", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).join(offsets.select(*(F.col(g).alias(f"o_{g}") for g in group), F.col("up").alias("o_up"), F.col("bucket").alias("o_bucket"), "bucket_before").hint("merge"), [*(F.col(g).eqNullSafe(F.col(f"o_{g}")) for g in group), F.col("up") == F.col("o_up"), F.col("bucket") == F.col("o_bucket")])
-    # a chain head's own step from its parent
-    steps = light.select(*group, "node", F.col("up").alias("link"), (1 - F.col("heavy_size") + F.col("inside") + F.col("bucket_before")).alias("gap"))
-    heads = chain.where("node = head and up is null").select(*group, "node", F.lit(None).cast("string").alias("link"), F.lit(0).cast("long").alias("gap")).unionByName(steps)
-    at = chain.select(*(F.col(g).alias(f"c_{g}") for g in group), F.col("node").alias("c_id"), F.col("head").alias("c_head"), F.col("pos").alias("c_pos")).hint("merge")
-    heads = heads.join(at, [*(F.col(g).eqNullSafe(F.col(f"c_{g}")) for g in group), F.col("link") == F.col("c_id")], "left").select(*group, "node", "link", "gap", "c_head", "c_pos")
+    at = chain.select(*(F.col(g).alias(f"c_{g}") for g in group), F.col("node").alias("c_id"), F.col("head").alias("c_head"), F.col("pos").alias("c_pos"), F.col("adv").alias("c_adv")).hint("merge")
+    heads = chain.where("not heavy").select(*key, F.col("up").alias("link"), "gap")
+    heads = heads.join(at, [*(F.col(g).eqNullSafe(F.col(f"c_{g}")) for g in group), F.col("link") == F.col("c_id")], "left").select(*group, "node", "link", "gap", "c_head", "c_pos", "c_adv")
     if with_path:
-        seg = chain.groupBy(*(F.col(g).alias(f"s_{g}") for g in group), F.col("head").alias("s_head")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("segment"))
-        heads = heads.join(seg, [*(F.col(g).eqNullSafe(F.col(f"s_{g}")) for g in group), F.col("node") == F.col("s_head")]).select(*group, "node", "c_head", "c_pos", "gap", "segment")
+        seg = chain.groupBy(*(F.col(g).alias(f"s_{g}") for g in group), F.col("head").alias("s_head")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("segment"))
+        heads = heads.join(seg, [*(F.col(g).eqNullSafe(F.col(f"s_{g}")) for g in group), F.col("node") == F.col("s_head")]).select(*group, "node", "c_head", "c_pos", "c_adv", "gap", "segment")
     else:
-        heads = heads.select(*group, "node", "c_head", "c_pos", "gap", F.array().cast("array<string>").alias("segment"))
+        heads = heads.select(*group, "node", "c_head", "c_pos", "c_adv", "gap", F.array().cast("array<string>").alias("segment"))
     heads = cut(heads)
     # resolve the tree of chains level by level: log2(n) levels at most
     level = cut(heads.where("c_head is null").select(*group, "node", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("base"), F.col("node").alias("top"), F.array().cast("array<string>").alias("prefix"), "segment"))
@@ -250,7 +279,7 @@ def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         p = level.select(*(F.col(g).alias(f"p_{g}") for g in group), F.col("node").alias("p_node"), F.col("start").alias("p_start"), F.col("base").alias("p_base"), F.col("top").alias("p_top"), F.col("prefix").alias("p_prefix"), F.col("segment").alias("p_segment")).hint("merge")
         on_parent = [*(F.col(g).eqNullSafe(F.col(f"p_{g}")) for g in group), F.col("c_head") == F.col("p_node")]
-        level = cut(heads.join(p, on_parent).select(*group, "node", (F.col("p_start") + F.col("c_pos") + F.col("gap")).alias("start"), (F.col("p_base") + F.col("c_pos") + 1).alias("base"), F.col("p_top").alias("top"), F.concat("p_prefix", F.slice("p_segment", 1, F.col("c_pos") + 1)).alias("prefix"), "segment"))
+        level = cut(heads.join(p, on_parent).select(*group, "node", (F.col("p_start") + F.col("c_adv") + F.col("gap")).alias("start"), (F.col("p_base") + F.col("c_pos") + 1).alias("base"), F.col("p_top").alias("top"), F.concat("p_prefix", F.slice("p_segment", 1, F.col("c_pos") + 1)).alias("prefix"), "segment"))
         if level.isEmpty():
             break
         levels.append(level)
@@ -259,29 +288,33 @@ def _spread(nodes: DataFrame, group: list[str], with_path: bool) -> DataFrame:
         starts = starts.unionByName(x)
     starts = starts.select(*(F.col(g).alias(f"z_{g}") for g in group), F.col("node").alias("z_head"), "start", "base", "top", "prefix", "segment").hint("merge")
     on_head = [*(F.col(g).eqNullSafe(F.col(f"z_{g}")) for g in group), F.col("head") == F.col("z_head")]
-    out = [*key, "parent", F.col("top").alias("root_id"), (F.col("base") + F.col("pos")).cast("int").alias("depth"), F.col("size").alias("subtree_size"), F.col("head").alias("head_id"), F.col("pos").cast("int").alias("position"), (F.col("start") + F.col("pos")).alias("preorder")]
+    out = [*key, "parent", F.col("top").alias("root_id"), (F.col("base") + F.col("pos")).cast("int").alias("depth"), F.col("size").alias("subtree_size"), F.col("head").alias("head_id"), F.col("pos").cast("int").alias("position"), (F.col("start") + F.col("adv")).alias("preorder")]
     path = [F.concat("prefix", F.slice("segment", 1, F.col("pos") + 1)).alias("path")] if with_path else []
     solved = chain.join(starts, on_head).select(*out, *path)
     rest = circles.select(*key, "parent", F.lit("").alias("root_id"), F.lit(-1).alias("depth"), F.lit(0).cast("long").alias("subtree_size"), F.lit("").alias("head_id"), F.lit(-1).alias("position"), F.lit(-1).cast("long").alias("preorder"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else []))
     return solved.unionByName(rest)
 
 
-def hierarchy(nodes: DataFrame, group: list[str], with_path: bool = False, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def hierarchy(nodes: DataFrame, group: list[str], with_path: bool = False, local_rows: int = LOCAL_ROWS, order: str | None = None, label: str | None = None) -> DataFrame:
     """Root, depth, subtree size, chain and preorder of every node; with_path its full path as well.
 
+    order: a bigint column by which (then by node) the preorder takes siblings; by default the one with the largest subtree comes
+    first. label: a string column that paths are made of in place of node.
+
     nodes: group columns, node, parent (see distinct_nodes); other columns are not read. A parent that the
     group lacks counts as none. The descendants of a node are those of its root whose preorder lies in
     (preorder, preorder + subtree_size). On or below a circle: root_id and head_id '', depth, position
     and preorder -1, no path. Empty in, empty out.
     """
-    nodes = nodes.select(*group, "node", "parent")
+    nodes = nodes.select(*group, "node", "parent", F.coalesce(F.col(order).cast("long") if order else F.lit(None), F.lit(0)).cast("long").alias("order_by"), (F.col(label).cast("string") if label else F.col("node")).alias("label"))
+    args = (group, with_path, order is not None)
     large = nodes.groupBy(*group).count().where(F.col("count") > local_rows).select(*(F.col(g).alias(f"l_{g}") for g in group))
     large = cut(large)
     if large.isEmpty():
-        return _local(nodes, group, with_path)
+        return _local(nodes, *args).drop("order_by", "label")
     same = [F.col(g).eqNullSafe(F.col(f"l_{g}")) for g in group]
     large = bounded_broadcast(large)
-    return _local(nodes.join(large, same, "left_anti"), group, with_path).unionByName(_spread(nodes.join(large, same, "left_semi"), group, with_path))
+    return _local(nodes.join(large, same, "left_anti"), *args).drop("order_by", "label").unionByName(_spread(nodes.join(large, same, "left_semi"), *args))
 
 
 def descendants(solved: DataFrame, group: list[str], block: int = 64) -> DataFrame:

@@ -64,3 +64,24 @@ def test_descendants_and_spellings_of_no_parent(spark):
     none = spark.createDataFrame([(x,) for x in ("", " ", "NULL", "0000000000000000", "none", None)], "p string")
     assert [r.p for r in none.select(clean_parent(F.col("p")).alias("p")).collect()] == [None] * 6
     assert spark.createDataFrame([(" AB1 ",)], "p string").select(clean_parent(F.col("p")).alias("p")).first().p == "ab1"
+
+
+@pytest.mark.parametrize("local_rows", [20_000, 40])
+def test_preorder_by_a_given_order_and_labels(spark, local_rows):
+    r = random.Random(4)
+    rows = [(t, f"n{i}", f"n{r.randint(max(0, i - 6), i - 1)}" if i else None, r.randint(0, 5) if t else i % 3 - 10**15) for t in range(3) for i in range(90)]
+    rows += [(9, f"n{i}", "n0" if i else None, r.randint(0, 10**18)) for i in range(200)]
+    df = spark.createDataFrame(rows, "t int, node string, parent string, at long").withColumn("name", F.concat(F.lit("l"), "node"))
+    got = {(x.t, x.node): x for x in hierarchy(df, ["t"], True, local_rows, "at", "name").collect()}
+    kids = {}
+    for t, n, p, at in rows:
+        kids.setdefault((t, p), []).append((at, n))
+    want, walk = {}, []
+    for t in {x[0] for x in rows}:
+        stack, k = [("n0", ("ln0",))], 0
+        while stack:
+            n, path = stack.pop()
+            want[(t, n)] = (k, list(path))
+            k += 1
+            stack.extend((c, (*path, "l" + c)) for _, c in sorted(kids.get((t, n), []), reverse=True))
+    assert {key: (x.preorder, x.path) for key, x in got.items()} == want
