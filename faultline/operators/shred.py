@@ -78,13 +78,13 @@ def dump(v) -> str:
     return json.dumps(v, ensure_ascii=False)
 
 
-def shred_value(value, arrays: frozenset[str], keep: frozenset[str] | None, link: frozenset[str] = frozenset()):
+def shred_value(value, arrays: frozenset[str], keep: frozenset[str] | None, link: frozenset[str] = frozenset(), whole: frozenset[str] = frozenset()):
     """Rows (group, ordinals, parent group, parent ordinals, parent key, is_null, fields, types) of one parsed body.
 
     arrays: keys at which an array is due. There null or nothing is an empty array and one lone object an
     array of one; text stays a plain value. Null entries keep their position and come out with is_null.
     keep: relative paths to emit, None for all. link: paths whose value names a row; the parent key is
-    that of the nearest ancestor that has one, else null.
+    that of the nearest ancestor that has one, else null. whole: paths whose objects stay one JSON text.
     """
     rows: list[tuple] = []
     # an entry: value, group, ordinals, parent group, parent ordinals
@@ -105,6 +105,9 @@ def shred_value(value, arrays: frozenset[str], keep: frozenset[str] | None, link
                 for i, e in enumerate(x if isinstance(x, list) else [x]):
                     nested.append((e, child, (*ords, i), group, ords))
                 continue
+            if isinstance(x, dict) and path in whole:
+                fields[path], types[path] = dump(x), "object"
+                continue
             if isinstance(x, dict):
                 inner.extend((f"{path}.{k}" if path else k, y) for k, y in reversed(x.items()))
                 continue
@@ -118,7 +121,7 @@ def shred_value(value, arrays: frozenset[str], keep: frozenset[str] | None, link
     return rows
 
 
-def shred(df: DataFrame, id_cols: list[str], body: str, arrays: list[str], keep: list[str] | None = None, groups: list[str] | None = None, link: list[str] | None = None) -> DataFrame:
+def shred(df: DataFrame, id_cols: list[str], body: str, arrays: list[str], keep: list[str] | None = None, groups: list[str] | None = None, link: list[str] | None = None, whole: list[str] | None = None) -> DataFrame:
     """One row per element of each repeated group of the bodies of df; columns id_cols and SCHEMA.
 
     A body that is not JSON gives no rows here (see invalid_bodies); a null body is not JSON. Other
@@ -126,7 +129,7 @@ def shred(df: DataFrame, id_cols: list[str], body: str, arrays: list[str], keep:
     """
     source = df.select(*id_cols, F.col(body).alias("__body"))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.select(*id_cols).dtypes), SCHEMA])
-    wanted, kept, only, names_row = frozenset(arrays), None if keep is None else frozenset(keep), None if groups is None else frozenset(groups), frozenset(link or [])
+    wanted, kept, only, names_row, entire = frozenset(arrays), None if keep is None else frozenset(keep), None if groups is None else frozenset(groups), frozenset(link or []), frozenset(whole or [])
 
     types = [pa.string(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string())]
     names = ["group", "ordinals", "parent_group", "parent_ordinals", "parent_key", "is_null", "fields", "types"]
@@ -142,7 +145,7 @@ def shred(df: DataFrame, id_cols: list[str], body: str, arrays: list[str], keep:
                         value = parse(text)
                     except ValueError:
                         continue
-                    for row in shred_value(value, wanted, kept, names_row):
+                    for row in shred_value(value, wanted, kept, names_row, entire):
                         if only is None or row[0] in only:
                             at.append(i)
                             out.append(row)

@@ -83,10 +83,7 @@ PLANS: dict[str, str] = {
     # ingestion
     "ingest_counts": f"with {SPANS}, {STEPS}, {TRACES}, a as (select trace_id, count(*) n from sp group by trace_id), b as (select trace_id, count(*) n from st group by trace_id) select tr.trace_id, coalesce(a.n, 0) spans, coalesce(b.n, 0) steps, coalesce(a.n, 0) <> coalesce(tr.span_count, -1) spans_stale, coalesce(b.n, 0) <> coalesce(tr.step_count, -1) steps_stale from tr left join a on tr.trace_id = a.trace_id left join b on tr.trace_id = b.trace_id",
     "outcome_inference": f"with {SPANS} select trace_id, case when max(case when status = 'error' then 1 else 0 end) = 1 then 'failure' else 'success' end inferred_outcome, count(*) spans from sp group by trace_id",
-    "orphan_spans": f"with {SPANS} select c.trace_id, count(*) orphans from sp c left join sp p on c.trace_id = p.trace_id and lower(c.parent_span_id) = lower(p.span_id) where c.parent_span_id is not null and c.parent_span_id <> '' and p.span_id is null group by c.trace_id",
     "task_goal_first_user": f"with {SPANS}, f as (select trace_id, |json payload ~ input_text| goal, row_number() over (partition by trace_id order by start_ns, span_id) rn from sp where kind = 'agent' and coalesce(|json payload ~ input_text|, '') <> '') select trace_id, goal from f where rn = 1",
-    "agent_key": f"with {STEPS}, {TRACES}, t as (select trace_id, actor, case when kind = 'tool' then |part lower(signature) ~ 3| end tool from st), k as (select trace_id, |joined actor| actors, |joined tool| tools from t group by trace_id) select tr.trace_id, sha1(concat_ws('#', coalesce(tr.framework, ''), coalesce(k.actors, ''), coalesce(k.tools, ''))) agent_key from tr left join k on tr.trace_id = k.trace_id",
-    "task_key": f"with {TRACES}, a as (select trace_id, lower(coalesce(task_goal, '')) g from tr), b as (select trace_id, |sub g ~ [a-z]+://[^ ]+ ~ <url>| g from a), c as (select trace_id, |sub g ~ [0-9]+ ~ <n>| g from b), d as (select trace_id, |sub g ~ [ ]+ ~ _| g from c) select trace_id, sha1(trim(g)) task_key from d",
     "latest_traces": f"with {TRACES} select trace_id, outcome, source, framework from tr",
     "prune_attributes": f"with {TRACES}, old as (select trace_id from tr where ingested_at < (select max(ingested_at) from tr) - interval 90 days) select coalesce(s.attributes_pruned, false) pruned_before, count(*) spans, sum(case when old.trace_id is not null then 1 else 0 end) pruned_now from spans s left join old on s.trace_id = old.trace_id group by coalesce(s.attributes_pruned, false)",
     "status_rollup": f"with {SPANS} select kind, status, count(*) spans from sp group by grouping sets ((kind, status), (kind), ())",
@@ -127,17 +124,8 @@ PLANS: dict[str, str] = {
     "leave_one_out": f"with {STEPS}, {SPANS}, {DIAG}, {L1}, d as (select distinct detector left_out from l1), k as (select d.left_out, l1.trace_id, l1.step_index, max(l1.severity) sev from l1 join d on l1.detector <> d.left_out group by d.left_out, l1.trace_id, l1.step_index) select k.left_out, count(*) flagged, sum(case when k.step_index = dg.root_cause_step_index then 1 else 0 end) hits from k join dg on k.trace_id = dg.trace_id group by k.left_out",
     "ablation_delta": f"with {STEPS}, {SPANS}, {DIAG}, {DIV}, {L1}, {CAND}, a as (select avg(case when rk.step_index = dg.root_cause_step_index then cast(1 as double) else 0 end) hit from rk join dg on rk.diagnosis_id = dg.diagnosis_id where rk.rnk = 1), l as (select diagnosis_id, step_index, row_number() over (partition by diagnosis_id order by sev desc, step_index) r from ev), b as (select avg(case when l.step_index = dg.root_cause_step_index then cast(1 as double) else 0 end) hit from l join dg on l.diagnosis_id = dg.diagnosis_id where l.r = 1) select round(a.hit, 6) with_layer, round(b.hit, 6) without_layer, round(a.hit - b.hit, 6) delta from a cross join b",
     "read_trace": f"with {SPANS} select trace_id, span_id, parent_span_id, kind, status, start_ns from sp",
-    "infer_kind": f"with {SPANS}, r as (select span_id, trace_id, kind, |json payload ~ tool_name| tool, |json payload ~ model| model, |json payload ~ query| query, |json payload ~ agent_name| agent from sp where payload is not null) select kind, case when tool is not null then 'tool' when model is not null then 'llm' when query is not null then 'retriever' when agent is not null then 'agent' else 'unknown' end inferred, count(*) n from r group by 1, 2",
-    "token_usage": f"with {SPANS}, r as (select |json payload ~ model| model, cast(|json payload ~ total_tokens| as bigint) t, cast(|json payload ~ max_tokens| as bigint) m from sp where kind = 'llm' and payload is not null) select model, count(*) calls, cast(sum(t) as bigint) total_tokens, max(t) largest, sum(case when m > 0 and t >= cast(0.9 as double) * m then 1 else 0 end) near_limit from r group by model",
-    "detector_overlap": f"with {STEPS}, {SPANS}, {L1}, s as (select distinct trace_id, detector from l1) select a.detector, b.detector other, count(*) traces from s a join s b on a.trace_id = b.trace_id and a.detector < b.detector group by a.detector, b.detector",
-    "vocabulary_counts": "select vocabulary, count(*) spans, count(payload) with_payload, count(normalize_error) failed from spans group by vocabulary",
-    "error_rate_by_actor": f"with {STEPS}, {SPANS} select st.actor, count(*) tool_steps, sum(case when sp.status = 'error' then 1 else 0 end) errors from st join sp on st.trace_id = sp.trace_id and st.span_id = sp.span_id where st.kind = 'tool' group by st.actor",
-    "degraded_layers": "select failure_class, abstained, count(*) n, count(error) errors from diagnoses group by failure_class, abstained",
-    "alignment_ops": f"with {DIV} select alignment_op, count(*) n, round(avg(score), 6) mean_score from dv group by alignment_op",
     # texts
     "token_sets": "with a as (select doc_id, |words text| w from documents where text is not null) select doc_id, |size w| distinct_words from a",
     "mask_ids": "select doc_id, sha1(|sub text ~ [0-9A-Za-z_]*[0-9][0-9A-Za-z_]* ~ <ID>|) masked_sha1 from documents where text is not null",
     "truncate_excerpt": "select doc_id, case when length(text) <= 400 then text else concat(substr(text, 1, 198), ' ... ', |tail text ~ 197|) end excerpt from documents",
-    "record_layouts": "select layout, count(*) records, count(distinct source) source_spellings from raw_records group by layout",
-    "event_runs": "with s as (select user_id, event_type, ts, event_id, case when lag(event_type) over (partition by user_id order by ts, event_id) = event_type then 0 else 1 end fresh from events), g as (select *, sum(fresh) over (partition by user_id order by ts, event_id) run from s) select user_id, run, min(event_type) event_type, count(*) n from g group by user_id, run",
 }

@@ -60,7 +60,13 @@ def contrast_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def linearized_steps(spark: SparkSession, d: str) -> DataFrame:
     """Steps out of the span trees."""
-    return linearize.linearize(table(spark, d, "spans"))
+    made = linearize.linearize(table(spark, d, "spans"))
+    return made.withColumn("collapsed_span_ids", F.array_join("collapsed_span_ids", ","))
+
+
+def orphan_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans that hang under the root in place of the parent they name."""
+    return linearize.place(table(spark, d, "spans")).where("is_orphan").select("trace_id", F.col("node").alias("span_id"))
 
 
 def otlp_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +91,7 @@ def _stub(prompt: str) -> str:
     return '```json\n{"is_root_cause": %s, "failure_class": "unknown", "confidence": %.4f}\n```' % (str(prior > 0.5).lower(), min(1.0, max(0.0, prior)))
 
 
-QUERIES |= {f.__name__: f for f in (contrast_runs, linearized_steps, otlp_spans, failing_windows, adjudicate_stub)}
+QUERIES |= {f.__name__: f for f in (contrast_runs, linearized_steps, orphan_spans, otlp_spans, failing_windows, adjudicate_stub)}
 SQL["failing_windows"] = "with s as (select trace_id, span_id, min(kind) kind, min(status) status, min(start_ns) start_ns from spans group by 1, 2) select start_ns // 1000 // 600000000 * 600000000 window_start_us, kind, count(*) spans, count(case when status = 'error' then 1 end) failing from s group by 1, 2"
 
 
@@ -109,6 +115,42 @@ def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("label").cast("int").alias("label"), "vec_id", "embedding").groupBy("label").applyInArrow(run, "label int, vec_id long, cluster int")
 
 
+_EMPTY = "('', '[]', '{}', 'null', 'no results found')"
+_PLACED = f"""
+with recursive f0 as (select lower(trim(trace_id)) t, lower(trim(span_id)) n, case when lower(trim(parent_span_id)) not in ('', 'null', 'none', 'nil', 'n/a', '-', '0', 'undefined') and not regexp_full_match(lower(trim(parent_span_id)), '(0x)?0+') then lower(trim(parent_span_id)) end pa, kind, status, name, start_ns, end_ns, payload
+  from spans where trace_id is not null and span_id is not null),
+f1 as (select t, n, min(pa) pa, min(kind) kind, min(status) status, min(name) nm, coalesce(min(start_ns), 0) b, coalesce(min(end_ns), 0) e, min(payload) p from f0 group by t, n),
+f as (select * from f1 where t in (select t from f1 where kind in ('llm', 'tool', 'retriever', 'agent'))),
+rt as (select t, n root from (select *, row_number() over (partition by t order by pa is not null, b, n) k from f) where k = 1),
+u as (select f.*, rt.root, case when f.n = rt.root then null else coalesce(x.n, rt.root) end up, f.n <> rt.root and x.n is null hung from f join rt using (t) left join f x on x.t = f.t and x.n = f.pa and f.pa <> f.n),
+ok(t, n) as (select t, n from u where n = root union all select c.t, c.n from u c join ok on c.t = ok.t and c.up = ok.n),
+bad as (select u.t, u.n, u.up, u.b from u anti join ok using (t, n)),
+reach(t, n, a) as (select t, n, up from bad union select r.t, r.n, bad.up from reach r join bad on bad.t = r.t and bad.n = r.a),
+ring as (select r.t, r.n, min(struct_pack(b := o.b, n := o.n)) first from reach r join reach back on back.t = r.t and back.n = r.a and back.a = r.n join bad o on o.t = r.t and o.n = r.a group by r.t, r.n),
+v as (select u.*, coalesce(ring.n = ring.first.n, false) led from u left join ring using (t, n)),
+w as (select * replace (case when led then root else up end as up), hung or led orphan from v),
+s as (select *, row_number() over (partition by t, up order by b, n) - 1 i,
+  case when kind = 'agent' and p is not null then coalesce(json_extract_string(p, '$.agent_name'), 'unknown') when n = root then coalesce(nullif(nm, ''), 'unknown') end said from w),
+tree as (select t, n, 0 depth, [i] path, said actor from s where n = root union all select c.t, c.n, tree.depth + 1, list_append(tree.path, c.i), coalesce(c.said, tree.actor) from s c join tree on c.t = tree.t and c.up = tree.n),
+line as (select s.*, tree.depth, tree.path, tree.actor, row_number() over (partition by t order by tree.path) pre from s join tree using (t, n))
+"""
+SQL["orphan_spans"] = _PLACED + "select t trace_id, n span_id from line where orphan"
+SQL["linearized_steps"] = _PLACED + f""", k as (select *, kind in ('llm', 'tool', 'retriever', 'agent') step from line),
+m as (select *, coalesce(sum(case when step then 1 else 0 end) over (partition by t order by pre rows between unbounded preceding and 1 preceding), 0) before, sum(case when step then 1 else 0 end) over (partition by t) steps from k),
+q as (select *, case when step then before else least(before, steps - 1) end idx from m),
+h as (select t, idx, string_agg(n, ',' order by pre) ids from q where not step group by t, idx),
+z as (select *, case when kind = 'llm' then min(case when kind = 'llm' then idx end) over (partition by t, actor) = idx end plan,
+  json_extract_string(p, '$.tool_calls[0].tool_name') call, coalesce(json_array_length(p, '$.tool_calls'), 0) > 0 calls, case when p is null then coalesce(nm, '') else coalesce(json_extract_string(p, '$.tool_name'), '') end tool,
+  case when p is null then 'ok' when json_extract_string(p, '$.is_error') = 'true' then 'err' when json_extract_string(p, '$.result_len') = '0' or lower(trim(coalesce(json_extract_string(p, '$.result_text'), ''))) in {_EMPTY} then 'empty' else 'ok' end outcome,
+  len(list_filter(string_split_regex(coalesce(json_extract_string(p, '$.query'), ''), '\s+'), lambda x: x <> '')) words, case when coalesce(json_array_length(p, '$.documents'), 0) > 0 then 'hit' else 'miss' end hit from q where step)
+select t trace_id, cast(z.idx as integer) step_index, n span_id, kind, actor, depth, array_to_string(path, '.') tree_path,
+ case when kind = 'agent' then concat('agent:', actor, ':invoke') when kind = 'llm' and calls then concat_ws(':', 'llm', actor, 'call', call) when kind = 'llm' then concat('llm:', actor, case when plan then ':plan' else ':answer' end)
+  when kind = 'tool' then concat_ws(':', 'tool', actor, tool, outcome) else concat('retr:', actor, ':w', words, ':', hit) end signature,
+ case when kind = 'agent' then actor || ' is invoked' when kind = 'llm' and calls then concat(actor, ' decides to call ', call) when kind = 'llm' then actor || case when plan then ' plans its next step' else ' responds' end
+  when kind = 'tool' then concat(tool, ' returns ', outcome) else concat(actor, ' retrieves documents (', hit, ')') end summary,
+ b start_ns, e end_ns, (e - b) / 1e6 duration_ms, coalesce(h.ids, '') collapsed_span_ids from z left join h using (t, idx)"""
+
+
 QUERIES |= {f.__name__: f for f in (context_packets, density_clusters)}
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from faultline.operators import adjudicate, store
 from faultline.operators.align import GAP_EXTEND, GAP_OPEN, coarse, contrast, gotoh
 from faultline.operators.detectors import signals
-from faultline.operators.linearize import linearize
 from faultline.operators.steps import enrich
 from faultline.sources.otlp import decode, is_raw_upload
 from faultline.sources.turns import iso_duration_ns, turns_to_steps
@@ -81,13 +80,6 @@ def test_null_payloads_never_fire(spark):
     assert _fired(_run(spark, [("tool", None, 0, None, None), ("llm", None, 0, None, None), ("retriever", None, 0, None, None), ("agent", None, 0, None, None)])) == set()
 
 
-def test_linearize(spark):
-    rows = [("t", "root", "", "chain", "ok", None, 1), ("t", "a", "ROOT", "agent", "ok", '{"agent_name": "x"}', 2), ("t", "b", "a", "tool", "error", '{"tool_name": "f"}', 5), ("t", "c", "a", "llm", "ok", "{}", 3), ("t", "w", "c", "embedding", "ok", None, 4), ("t", "z", "root", "guardrail", "ok", None, 9)]
-    df = spark.createDataFrame(rows + rows[:2], "trace_id string, span_id string, parent_span_id string, kind string, status string, payload string, start_ns long")
-    got = [(r.step_index, r.span_id, r.signature, r.collapsed) for r in linearize(df).orderBy("step_index").collect()]
-    assert got == [(0, "a", "agent:invoke", 1), (1, "c", "llm:answer", 0), (2, "b", "tool:f:err", 2)]
-
-
 def _pb(field, wire, value):
     def varint(v):
         out = b""
