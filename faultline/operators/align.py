@@ -40,8 +40,9 @@ def gotoh(score: np.ndarray, gap_open: float = GAP_OPEN, gap_extend: float = GAP
     """Score, operations and best-score matrix of a global alignment with affine gaps.
 
     score[i, j] is what matching element i of the first run with j of the second is worth. A gap of length n costs gap_open + (n - 1)
-    * gap_extend. Of equal ways a match wins over a deletion and that over an insertion. An operation is match, mismatch
-    (a pairing worth nothing or less), deletion (first run only: 'insertion' there) or insertion.
+    * gap_extend and opens from a pairing or the start only, never from the other run's gap. Of equal ways a pairing wins over a gap in the second
+    run and that over one in the first. An operation is match, mismatch (a pairing worth nothing or less), insertion (an element of
+    the first run alone) or deletion.
     """
     n, m = score.shape
     low = -1e18
@@ -53,29 +54,32 @@ def gotoh(score: np.ndarray, gap_open: float = GAP_OPEN, gap_extend: float = GAP
     for i in range(1, n + 1):
         best_above = np.maximum(np.maximum(pair[i - 1], down[i - 1]), right[i - 1])
         pair[i, 1:] = best_above[:-1] + score[i - 1]
-        opened = np.maximum(pair[i - 1], right[i - 1]) + gap_open
-        down[i, 1:] = np.maximum(opened, down[i - 1] + gap_extend)[1:]
+        down[i, 1:] = np.maximum(pair[i - 1] + gap_open, down[i - 1] + gap_extend)[1:]
         # along the row: the best start of a gap, discounted by its length, is a running maximum
-        start = np.maximum(pair[i, :-1], down[i, :-1]) + gap_open - gap_extend * cols
+        start = pair[i, :-1] + gap_open - gap_extend * cols
         right[i, 1:] = np.maximum.accumulate(start) + gap_extend * cols
     best = np.maximum(np.maximum(pair, down), right)
     ops: list[str] = []
     i, j = n, m
-    layers = {"pair": pair, "down": down, "right": right}
-    at = max(layers, key=lambda k: layers[k][n, m]) if n or m else "pair"
+
+    def top() -> str:
+        at = [pair[i, j], down[i, j], right[i, j]]
+        return ("pair", "down", "right")[next(k for k in range(3) if at[k] >= max(at) - 1e-9)]
+
+    at = top()
     while i or j:
         if at == "pair":
             ops.append("match" if score[i - 1, j - 1] > 0 else "mismatch")
             i, j = i - 1, j - 1
-            at = max(layers, key=lambda k: layers[k][i, j])
+            at = top()
         elif at == "down":
             ops.append("insertion")
-            here, i = down[i, j], i - 1
-            at = "down" if i and abs(down[i, j] + gap_extend - here) < 1e-9 and down[i, j] > low / 2 else max(("pair", "right"), key=lambda k: layers[k][i, j])
+            i -= 1
+            at = "pair" if pair[i, j] + gap_open >= down[i, j] + gap_extend - 1e-9 else "down"
         else:
             ops.append("deletion")
-            here, j = right[i, j], j - 1
-            at = "right" if j and abs(right[i, j] + gap_extend - here) < 1e-9 and right[i, j] > low / 2 else max(("pair", "down"), key=lambda k: layers[k][i, j])
+            j -= 1
+            at = "pair" if pair[i, j] + gap_open >= right[i, j] + gap_extend - 1e-9 else "right"
     return float(best[n, m]), ops[::-1], best
 
 

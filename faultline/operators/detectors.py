@@ -9,8 +9,11 @@ have frames of their own. A predicate that is null does not fire. Every signal i
 
 from __future__ import annotations
 
+import ast
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +22,10 @@ from faultline.operators.steps import is_empty_result, terms
 # Fixed values of the detectors.
 FAILURE_WORDS = ["error", "fail", "unable", "could not", "couldn't", "sorry", "apolog", "not found", "denied"]
 SUCCESS_WORDS = ["success", "done", "complete", "resolved", "issued", "processed", "confirmed"]
-ASSUMING = r"(?i)\b(we can simulate|simulate the|simulated dataset|simulated data|let's assume|lets assume|assume that|assuming that|make an assumption|an assumption|dummy data|mock data|placeholder values?|without verifying)\b"
+ASSUMING = r"(?i)\b(we can simulate|simulate the|simulated dataset|simulated data|let'?s assume|assume that|assuming that|make an assumption|an assumption|dummy data|mock data|placeholder values?|without verifying)\b"
+DEMAND = r"""(?i)(?:end with|must contain|respond with|use the format|wrap in|write the|append the)\s+(?:['"`]?\\?n?\s*(<[^>\s]+[^>]*>)|['"`]?\s*(\[\[[^\]\s]+\]\])|['"`]?\s*(###[^#\s]+###)|['"`]?\s*(```[a-zA-Z0-9_-]*)|['"`]([A-Za-z0-9_-]{3,})['"`])"""
+HTML_NOISE = ["<i>", "<b>", "<p>", "<br>", "<ul>", "<li>", "<ol>", "<a>", "<div>", "<span>", "<strong>", "<em>", "<pre>", "<code>"]
+CODE_BLOCK = r"```(?:python)?\s*\n(.*?)```"
 BENIGN_TOOL = "execution_result"
 OVERFLOW, TOKEN_DROP, LONG_RUN, LOOP_RUN, COVERAGE, LOW_SCORE, STALL, LEAST_MEDIAN_MS = 0.9, 0.7, 10, 3, 0.15, 0.3, 5.0, 1.0
 VERIFY_TOOL, REFUND_TOOL = "verify_eligibility", "process_refund"
@@ -41,6 +47,27 @@ def _words_in(text: Column, words: list[str]) -> Column:
     return hit
 
 
+def _first_of(role: str, messages: Column) -> Column:
+    return F.coalesce(F.get(F.filter(messages, lambda m: m["role"] == role), F.lit(0))["content"], F.lit(""))
+
+
+def missing_literals(request: Column, response: Column) -> Column:
+    """The literals that the first system and the first user message demand and the response lacks, letter case aside."""
+    told = F.concat(_first_of("system", request), F.lit("\n"), _first_of("user", request))
+    found = [F.regexp_extract_all(told, F.lit(DEMAND), F.lit(g)) for g in range(1, 6)]
+    literals = F.array_distinct(F.filter(F.transform(F.arrays_zip(*(x.alias(f"g{i}") for i, x in enumerate(found))), lambda z: F.coalesce(*(F.nullif(z[f"g{i}"], F.lit("")) for i in range(5)), F.lit(""))), lambda x: (x != "") & ~F.lower(x).isin(*HTML_NOISE)))
+    return F.filter(literals, lambda x: ~F.contains(F.lower(_text(response)), F.lower(x)))
+
+
+def breaks_schema(p: Column) -> Column:
+    """Whether the first response with content is no JSON object with all keys that the declared schema requires; false without a schema."""
+    text = F.get(F.filter(p["response_messages"], lambda m: F.coalesce(m["content"], F.lit("")) != ""), F.lit(0))["content"]
+    keys = F.coalesce(F.from_json(F.get_json_object(p["response_format_schema"], "$.required"), "array<string>"), F.array().cast("array<string>"))
+    read = F.when(F.try_parse_json(text).isNotNull() & text.rlike(r"(?s)^\s*\{"), F.from_json(text, "map<string,string>"))
+    declared = ~F.regexp_replace(F.coalesce(p["response_format_schema"], F.lit("")), r"\s", "").isin("", "{}", "null")
+    return declared & ~F.coalesce(F.forall(keys, lambda k: F.map_contains_key(read, k)), F.lit(False))
+
+
 def wide(enriched: DataFrame) -> DataFrame:
     """The shared table of all row and window detectors."""
     p, kind = F.col("p"), F.col("kind")
@@ -76,7 +103,8 @@ def _predicates() -> dict[str, tuple[Column, float, str, Column]]:
         "context_overflow": (llm & (p["max_tokens"] > 0) & (p["total_tokens"] >= OVERFLOW * p["max_tokens"]), 0.60, "context_loss", here),
         "silent_history_truncation": (llm & (F.col("tokens_before") > 0) & (p["prompt_tokens"] <= TOKEN_DROP * F.col("tokens_before")) & (F.size(p["request_messages"]) >= F.col("messages_before")), 0.75, "context_loss", here),
         "tool_arg_malformed": (tool & (F.coalesce(p["arguments_json"], F.lit("")) != "") & F.try_parse_json(p["arguments_json"]).isNull(), 0.65, "malformed_tool_input", here),
-        "output_schema_violation": (llm & (F.coalesce(p["response_format_schema"], F.lit("")) != "") & F.try_parse_json(F.get(p["response_messages"], F.lit(0))["content"]).isNull(), 0.60, "output_schema_violation", here),
+        "output_schema_violation": (llm & p.isNotNull() & breaks_schema(p), 0.60, "output_schema_violation", here),
+        "instruction_noncompliance": (llm & p.isNotNull() & (F.size(missing_literals(p["request_messages"], p["response_messages"])) > 0), 0.65, "constraint_violation", here),
         "premature_termination": (llm & F.col("kind_next").isNull() & F.contains("signature", F.lit("answer")) & (F.col("kind_before") != "tool"), 0.65, "premature_termination", F.col("index_before")),
         "missing_verification": ((F.col("outcome") == "failure") & (F.col("verified") == 0) & (here == F.col("first_refund")), 0.50, "missing_verification", here),
         "duplicate_delegation": ((kind == "agent") & (F.size(p["delegated_to"]) != F.size(F.array_distinct(p["delegated_to"]))), 0.55, "conflicting_subresults_unreconciled", here),
@@ -87,7 +115,7 @@ def _predicates() -> dict[str, tuple[Column, float, str, Column]]:
     }
 
 
-ROW_DETECTORS = ["tool_error", "empty_tool_result", "error_swallowed", "reasoning_turn_defect", "context_overflow", "silent_history_truncation", "tool_arg_malformed", "output_schema_violation", "premature_termination", "missing_verification", "duplicate_delegation", "unused_retrieval", "low_score_retrieval", "goal_token_drift", "stall_timeout"]
+ROW_DETECTORS = ["tool_error", "empty_tool_result", "error_swallowed", "instruction_noncompliance", "reasoning_turn_defect", "context_overflow", "silent_history_truncation", "tool_arg_malformed", "output_schema_violation", "premature_termination", "missing_verification", "duplicate_delegation", "unused_retrieval", "low_score_retrieval", "goal_token_drift", "stall_timeout"]
 
 
 def _signal(df: DataFrame, name: str, severity: float, category: str, step: Column) -> DataFrame:
@@ -148,20 +176,65 @@ def hallucinated_tool(enriched: DataFrame) -> DataFrame:
     return _signal(calls.join(run, (F.col("trace_id") == F.col("r_trace")) & (F.col("tool") == F.col("r_tool")), "left_anti"), "hallucinated_tool", 0.80, "hallucinated_tool_or_parameter", F.col("step_index"))
 
 
+def step_text(p: Column, kind: Column) -> Column:
+    """What an identifier of a step may have been taken from, by kind; '' without a payload."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    previews = F.array_join(F.transform(p["documents"], lambda d: part(d["content_preview"])), " ")
+    return part(
+        F.when(kind == "tool", F.concat_ws(" ", part(p["result_text"]), part(p["arguments_json"])))
+        .when(kind == "llm", F.concat_ws(" ", part(_text(p["request_messages"])), part(_text(p["response_messages"]))))
+        .when(kind == "retriever", F.concat_ws(" ", part(p["query"]), part(previews)))
+        .when(kind == "agent", F.concat_ws(" ", part(p["input_text"]), part(p["output_text"])))
+    )
+
+
+def argument_tokens(arguments: Column) -> Column:
+    """Every identifier-shaped token (5 characters or more, a letter and a digit) of the string values of a JSON text, however deep."""
+    quoted = r'"((?:[^"\\]|\\.)*)"(\s*:)?'
+    names_too = F.arrays_zip(F.regexp_extract_all(arguments, F.lit(quoted), F.lit(1)).alias("x"), F.regexp_extract_all(arguments, F.lit(quoted), F.lit(2)).alias("colon"))
+    strings = F.transform(F.filter(names_too, lambda z: z["colon"] == ""), lambda z: z["x"])
+    plain = F.transform(strings, lambda x: F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>"), F.lit(0)), x))
+    return F.filter(F.flatten(F.transform(plain, lambda x: F.split(x, r"(?U)[\s,]+"))), lambda t: t.rlike(r"^[A-Za-z0-9_./:\-]{5,}$") & t.rlike("[A-Za-z]") & t.rlike("[0-9]"))
+
+
 def parameter_drift(enriched: DataFrame) -> DataFrame:
-    """Identifiers in a tool's arguments that neither the goal nor any earlier step of the trace has.
+    """Identifiers in a tool's arguments that stand neither in the goal nor in the text of any earlier step, not even inside a longer word. One signal an occurrence.
 
-    Texts and arguments are broken into tokens; a token's earliest text decides, so the check is one aggregate and one join on
-    (trace, token) and never a pair of steps.
+    A token can only lie inside one run of identifier characters. Runs with a digit are kept once a trace with their earliest step and
+    meet the tokens on the five characters around the token's first digit, so no pair of steps is ever formed.
     """
-    token = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9_./:\-]{5,})"), 1)
-    p = F.col("p")
-    said = F.concat_ws(" ", p["result_text"], p["output_text"], p["input_text"], p["query"], _text(p["request_messages"]), _text(p["response_messages"]), p["arguments_json"])
-    uses = enriched.where("kind = 'tool'").select("trace_id", "step_index", F.explode(F.array_distinct(token(p["arguments_json"]))).alias("token")).where(F.col("token").rlike("[a-z]") & F.col("token").rlike("[0-9]"))
-    seen = enriched.select("trace_id", "step_index", F.explode(token(said)).alias("token")).unionByName(enriched.where("step_index = 0").select("trace_id", F.lit(-1).alias("step_index"), F.explode(token(F.col("task_goal"))).alias("token")))
-    first = seen.groupBy(F.col("trace_id").alias("f_trace"), F.col("token").alias("f_token")).agg(F.min("step_index").alias("first"))
-    drift = uses.join(first, (F.col("trace_id") == F.col("f_trace")) & (F.col("token") == F.col("f_token"))).where(F.col("first") >= F.col("step_index"))
-    return _signal(drift, "parameter_drift", 0.70, "hallucinated_tool_or_parameter", F.col("step_index"))
+    p, kind = F.col("p"), F.col("kind")
+    uses = enriched.where("kind = 'tool' and p is not null and p.arguments_json is not null").where(F.try_parse_json("p.arguments_json").isNotNull()).select("trace_id", "step_index", F.explode(argument_tokens(p["arguments_json"])).alias("token"))
+    uses = uses.select("trace_id", "step_index", F.lower("token").alias("token")).groupBy("trace_id", "step_index", "token").agg(F.count("*").cast("int").alias("times"))
+    texts = enriched.select("trace_id", "step_index", step_text(p, kind).alias("t")).unionByName(enriched.groupBy("trace_id").agg(F.max("task_goal").alias("t")).select("trace_id", F.lit(-1).alias("step_index"), "t"))
+    runs = texts.select("trace_id", "step_index", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"([a-z0-9_./:\-]{5,})"), F.lit(1)))).alias("run")).where(F.col("run").rlike("[0-9]"))
+    runs = runs.groupBy("trace_id", "run").agg(F.min("step_index").alias("first"))
+    grams = F.filter(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 4), lambda i: F.substring("run", i, F.lit(5)))), lambda g: g.rlike("[0-9]"))
+    index = runs.select(F.col("trace_id").alias("f_trace"), "run", "first", F.explode(grams).alias("f_gram"))
+    at = F.regexp_instr("token", F.lit("[0-9]"))
+    keyed = uses.withColumn("gram", F.substring("token", F.greatest(F.lit(1), F.least(at - 2, F.length("token") - 4)), F.lit(5)))
+    known = keyed.join(index, (F.col("trace_id") == F.col("f_trace")) & (F.col("gram") == F.col("f_gram")) & (F.col("first") < F.col("step_index")) & F.contains("run", "token"), "left_anti")
+    return _signal(known.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("times")))), "parameter_drift", 0.70, "hallucinated_tool_or_parameter", F.col("step_index"))
+
+
+def broken_code(enriched: DataFrame) -> DataFrame:
+    """The other half of reasoning_turn_defect: an agent's text that assumes nothing but has a code block that does not parse."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("boolean")
+    def breaks(texts: pa.Array) -> pa.Array:
+        def bad(code: str) -> bool:
+            try:
+                ast.parse(code)
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                return True
+            return False
+
+        return pa.array([any(bad(c) for c in re.findall(CODE_BLOCK, t or "", re.S)) for t in texts.to_pylist()], pa.bool_())
+
+    text = F.col("p.output_text")
+    coded = enriched.where((F.col("kind") == "agent") & F.contains(text, F.lit("```")) & ~text.rlike(ASSUMING)).select("trace_id", "step_index", text.alias("text"))
+    return _signal(coded.where(breaks("text")), "reasoning_turn_defect", 0.65, "malformed_tool_input", F.col("step_index"))
 
 
 FRAME_DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {f.__name__: f for f in (oscillation, repeated_identical_action, retry_storm, step_budget_exhausted, hallucinated_tool, parameter_drift)}
@@ -173,7 +246,7 @@ def signals(enriched: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Signals of the named detectors (all by default)."""
     names = names or DETECTORS
     rows = [n for n in names if n in ROW_DETECTORS]
-    parts = ([row_signals(enriched, rows)] if rows else []) + [FRAME_DETECTORS[n](enriched) for n in names if n in FRAME_DETECTORS]
+    parts = ([row_signals(enriched, rows)] if rows else []) + ([broken_code(enriched)] if "reasoning_turn_defect" in names else []) + [FRAME_DETECTORS[n](enriched) for n in names if n in FRAME_DETECTORS]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
