@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import adjudicate, align, context, density, detectors, linearize, ranking, steps
 from faultline.plans import relational, step_oracles
+from faultline.plans.judge_queries import rank_candidates
 from faultline.runtime import table
 from faultline.sources import otlp
 from faultline.streaming import signals as windows
@@ -81,7 +82,7 @@ def failing_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def adjudicate_stub(spark: SparkSession, d: str) -> DataFrame:
     """Every ranked candidate judged by a fixed stand-in for the model."""
-    ranked = relational.run(spark, d, relational.PLANS["rank_candidates"])
+    ranked = rank_candidates(spark, d)
     prompts = ranked.select(F.concat_ws(":", "diagnosis_id", F.col("step_index").cast("string")).alias("key"), F.concat_ws(" ", F.lit("candidate"), "source", F.col("prior").cast("string")).alias("prompt"))
     return adjudicate.adjudicate(prompts, _stub, parallel=8).select("key", "is_root_cause", "confidence", "error")
 
@@ -97,7 +98,7 @@ SQL["failing_windows"] = "with s as (select trace_id, span_id, min(kind) kind, m
 
 def context_packets(spark: SparkSession, d: str) -> DataFrame:
     """Size of the packet of every ranked candidate."""
-    ranked = relational.run(spark, d, relational.PLANS["rank_candidates"])
+    ranked = rank_candidates(spark, d)
     traces = table(spark, d, "diagnoses").groupBy("diagnosis_id").agg(F.max("trace_id").alias("trace_id"))
     keyed = ranked.join(traces, "diagnosis_id").select(F.concat_ws(":", "diagnosis_id", F.col("step_index").cast("string")).alias("key"), "trace_id", "step_index")
     made = context.packets(keyed, steps.distinct_steps(table(spark, d, "steps")), steps.latest_traces(table(spark, d, "traces")))
