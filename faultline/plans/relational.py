@@ -89,8 +89,6 @@ PLANS: dict[str, str] = {
     # candidates and verdicts
     "assemble_diagnoses": f"with {DIAG}, {DIV}, c as (select diagnosis_id, count(*) n, max(score) top from dv group by diagnosis_id) select dg.diagnosis_id, dg.trace_id, dg.failure_class, coalesce(c.n, 0) divergences, c.top from dg left join c on dg.diagnosis_id = c.diagnosis_id",
     # clusters over runs
-    "cluster_identity": f"with {DIAG}, a as (select diagnosis_id, failure_class label, cluster_id prev from dg where failure_class is not null), s as (select label, count(*) n from a group by label), v as (select a.label, a.prev, count(*) c from a join clusters k on a.prev = k.cluster_id group by a.label, a.prev), b as (select v.*, s.n, row_number() over (partition by v.label order by c desc, prev desc) k1 from v join s on v.label = s.label), m as (select * from b where k1 = 1 and 2 * c > n), u as (select *, row_number() over (partition by prev order by c desc, label) k2 from m) select s.label, s.n size, u.prev reused_cluster_id from s left join (select * from u where k2 = 1) u on s.label = u.label",
-    "needs_relabel": f"with {DIAG}, m as (select cluster_id, count(*) n from dg where cluster_id is not null group by cluster_id) select c.cluster_id, coalesce(m.n, 0) size_now, c.label is null or c.labeled_size is null or coalesce(m.n, 0) > cast(1.5 as double) * c.labeled_size needs_relabel from clusters c left join m on c.cluster_id = m.cluster_id",
     "cluster_label_states": "select cluster_id, label, medoid_diagnosis_id, labeled_size from clusters where label is not null",
     "cluster_classes": f"with {DIAG}, h as (select cluster_id, failure_class, count(*) n from dg where cluster_id is not null group by cluster_id, failure_class) select cluster_id, failure_class, n, row_number() over (partition by cluster_id order by n desc, failure_class nulls last) k from h",
     # evaluation
