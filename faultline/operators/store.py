@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 #: Files of a table are spread over this many hash buckets of trace_id, so that a point lookup reads one.
 BUCKETS = 64
@@ -65,13 +68,16 @@ class Store:
     def _append(self, tables: dict[str, tuple[DataFrame, str]]) -> int:
         version = self._version()
         for name, (df, key) in tables.items():
+            if not self._exists(f"schema/{name}"):  # an empty write leaves no file that would tell
+                self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.text(f"{self.folder}/schema/{name}")
             append(df, f"{self.folder}/{name}", version, key)
         self.spark.createDataFrame([(version,)], "version int").write.mode("append").parquet(f"{self.folder}/commits")
         return version
 
     def _committed(self, name: str) -> DataFrame:
         done = self.spark.read.parquet(f"{self.folder}/commits").select(F.col("version").alias("done")).distinct()
-        rows = self.spark.read.parquet(f"{self.folder}/{name}")
+        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.folder}/schema/{name}").first()[0])).add("version", IntegerType()).add("bucket", IntegerType())
+        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         return rows.join(F.broadcast(done), F.col("version") == F.col("done"), "left_semi")  # one row a write
 
     def latest(self, name: str, key: str) -> DataFrame:
