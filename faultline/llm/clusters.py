@@ -9,6 +9,8 @@ label; then members are reassigned to the most typical member, recomputed from t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -129,31 +131,36 @@ def clusters(rows: DataFrame, dim: int, least: float = 0.70, smallest: int = 5,
     the smallest id. centrality: a member's mean cosine to the cluster. Unusable vectors (null, of another length, not finite, all
     zero) are noise; exact copies are in one cluster, whatever else is. Empty in, empty out.
     """
-    points = cut(V.unit_vectors(rows, dim))
-    reps, members = V.collapse_copies(points)
-    kind = dict(points.dtypes)["id"]
-    if reps.isEmpty():
-        return points.select("id", F.col("id").alias("label"), F.lit(0).cast("long").alias("size"), F.col("id").alias("medoid"), F.lit(0.0).alias("centrality")).limit(0)
+    reps, members = V.collapse_copies(rows, dim)
+    if members.isEmpty():
+        return members.select("id", F.col("id").alias("label"), F.lit(0).cast("long").alias("size"), F.col("id").alias("medoid"), F.lit(0.0).alias("centrality"))
     labels = connect(cut(similar_links(reps, dim, least, probes)))
     named = members.join(labels.select(F.col("id").alias("rep_id"), "label"), F.col("rep") == F.col("rep_id"), "left").select("id", F.coalesce("label", "rep").alias("label"))
-    sizes = named.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= smallest)
-    kept = named.join(sizes, "label")
-    with_vector = cut(kept.join(points.select(F.col("id").alias("pid"), floats(F.col("u"), dim).alias("vec")), F.col("id") == F.col("pid")).select("id", "label", "size", "vec"))
-    sums = with_vector.groupBy("label").agg(Summarizer.sum(array_to_vector("vec")).alias("s")).select(F.col("label").alias("s_label"), vector_to_array("s").alias("s"))
-    dot = F.aggregate(F.zip_with("vec", "s", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    scored = with_vector.join(sums, F.col("label") == F.col("s_label")).select("id", "label", "size", (dot / F.col("size")).alias("centrality"))
-    best = scored.groupBy("label").agg(F.min(F.struct((-F.col("centrality")).alias("c"), "id")).getField("id").alias("medoid")).select(F.col("label").alias("m_label"), "medoid")
-    assert kind == dict(scored.dtypes)["id"]
+    sizes = named.groupBy(F.col("label").alias("z_label")).agg(F.count("*").alias("size")).where(F.col("size") >= smallest)
+    kept = named.join(sizes, F.col("label") == F.col("z_label")).select(F.col("id").alias("k_id"), "label", "size")
+    kind = dict(rows.dtypes)["id"]
+    own = cut(kept.join(rows.select("id", "v"), F.col("k_id") == F.col("id")).select("id", "v", "label", "size"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                names, at = np.unique(np.array(b.column(2).to_pylist(), object), return_inverse=True)
+                _, unit = V._usable(b, dim)
+                sums = np.zeros((len(names), dim))
+                np.add.at(sums, at, unit.astype(np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), b.column(2).type), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["s_label", "part"])
+
+    parts = own.select("id", "v", "label").mapInArrow(add, f"s_label {kind}, part array<double>")
+    sums = parts.groupBy("s_label").agg(Summarizer.sum(array_to_vector("part")).alias("s")).select("s_label", vector_to_array("s").alias("s"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                _, unit = V._usable(b, dim)
+                s = b.column(4).values.to_numpy().reshape(-1, dim)
+                mean = np.einsum("ij,ij->i", unit.astype(np.float64), s) / b.column(3).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(mean)], names=["id", "label", "size", "centrality"])
+
+    scored = cut(own.join(sums, F.col("label") == F.col("s_label")).select("id", "v", "label", "size", "s").mapInArrow(score, f"id {kind}, label {kind}, size long, centrality double"))
+    best = scored.groupBy(F.col("label").alias("m_label")).agg(F.min(F.struct((-F.col("centrality")).alias("c"), "id")).getField("id").alias("medoid"))
     return scored.join(best, F.col("label") == F.col("m_label")).select("id", "label", "size", "medoid", "centrality")
-
-
-def floats(u, dim: int):
-    """float32 bytes as array<double>, in Python batches."""
-    from pyspark.sql.functions import arrow_udf
-
-    @arrow_udf("array<double>")
-    def run(col: pa.Array) -> pa.Array:
-        m = V.as_matrix(col, dim).astype(np.float64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, dim), pa.int32()), pa.array(m.ravel()))
-
-    return run(u)

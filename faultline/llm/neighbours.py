@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm import vectors as V
-from faultline.runtime import cut
 
 #: Seed of the random rotation, and how many standard errors the bound allows.
 ROTATION_SEED, ERRORS = 20_24, 3.0
@@ -115,11 +114,10 @@ def nearest(rows: DataFrame, dim: int, k: int = 5, least: float = -1.0, probes:
     the smaller id. Exact copies are each other's neighbours at cosine 1. least: no neighbour below this
     cosine is wanted. A point with fewer than k others has fewer rows. Empty in, empty out.
     """
-    points = cut(V.unit_vectors(rows, dim))
     kind = dict(rows.dtypes)["id"]
-    reps, members = V.collapse_copies(points)
-    if reps.isEmpty():
-        return points.select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"), F.lit(1).alias("rank")).limit(0)
+    reps, members = V.collapse_copies(rows, dim)
+    if members.isEmpty():
+        return members.select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"), F.lit(1).alias("rank"))
     cells = V.make_cells(reps, dim, probes)
     sent = rows.sparkSession.sparkContext.broadcast(cells.centroids)
 

@@ -16,15 +16,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.runtime import cut
+from faultline.runtime import bounded_broadcast, cut
 
 #: Mean homes in a cell, most cells, cells that a vector visits, most homes and most visitors in one unit of work.
 PER_CELL, MAX_CELLS, PROBES, HOMES, VISITORS = 256, 4096, 6, 4096, 8192
 
 
 def latest(rows: DataFrame, key: str, when: str, vector: str) -> DataFrame:
-    """key and vector of the latest row of every key; rows without a key are left out, a null time counts as earliest, and of equal times the vector that sorts last counts."""
-    return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.struct(F.col(when).alias("t"), F.col(vector).alias("v"))).getField("v").alias("v"))
+    """id and v of the latest row of every key, written; rows without a key are left out, a null time counts as earliest, and of equal times the vector that sorts last counts.
+
+    Only the vectors of repeated keys meet others of their key; those of single rows stay where they are scanned.
+    """
+    own = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(when).alias("t"), F.col(vector).alias("v"))
+    repeated = cut(own.groupBy("id").count().where("count > 1").select(F.col("id").alias("r_id")))
+    some = bounded_broadcast(repeated)
+    single = own.join(some, F.col("id") == F.col("r_id"), "left_anti").select("id", "v")
+    several = own.join(some, F.col("id") == F.col("r_id"), "left_semi").groupBy("id").agg(F.max(F.struct("t", "v")).getField("v").alias("v"))
+    return cut(single.unionByName(several))
+
+
+def _usable(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a batch (id, v) with a usable vector, and these as unit vectors in float32."""
+    lists = b.column(1)
+    n = np.diff(lists.offsets.to_numpy())
+    keep = np.flatnonzero((n == dim) & ~np.asarray(lists.is_null()))
+    flat = np.asarray(lists.values.fill_null(np.nan) if lists.values.null_count else lists.values, np.float64)
+    m = flat[lists.offsets.to_numpy()[keep][:, None] + np.arange(dim)] if len(keep) else np.empty((0, dim))
+    fine = np.isfinite(m).all(1)
+    size = np.zeros(len(m))
+    size[fine] = np.sqrt((m[fine] ** 2).sum(1))
+    fine &= size > 0
+    return keep[fine], (m[fine] / size[fine][:, None]).astype(np.float32)
 
 
 def unit_vectors(rows: DataFrame, dim: int) -> DataFrame:
@@ -33,22 +55,26 @@ def unit_vectors(rows: DataFrame, dim: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            n = np.diff(lists.offsets.to_numpy())
-            ok = (n == dim) & ~np.asarray(lists.is_null())
-            keep = np.flatnonzero(ok)
-            flat = np.asarray(lists.values.fill_null(np.nan) if lists.values.null_count else lists.values, np.float64)
-            m = flat[lists.offsets.to_numpy()[keep][:, None] + np.arange(dim)] if len(keep) else np.empty((0, dim))
-            fine = np.isfinite(m).all(1)
-            size = np.zeros(len(m))
-            size[fine] = np.sqrt((m[fine] ** 2).sum(1))
-            fine &= size > 0
-            unit = (m[fine] / size[fine][:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep[fine])), pa.array([x.tobytes() for x in unit], pa.binary())], names=["id", "u"])
+            keep, unit = _usable(b, dim)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array([x.tobytes() for x in unit], pa.binary())], names=["id", "u"])
 
     return rows.select("id", "v").where("v is not null").mapInArrow(run, f"id {kind}, u binary")
 
 
+def digests(rows: DataFrame, dim: int) -> DataFrame:
+    """id and d (128 bits of its unit vector) of the usable vectors."""
+    kind = dict(rows.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            keep, unit = _usable(b, dim)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in unit], pa.binary())], names=["id", "d"])
+
+    return rows.select("id", "v").where("v is not null").mapInArrow(run, f"id {kind}, d binary")
+
+
 def as_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """Rows of float32 bytes as one matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
@@ -77,8 +103,11 @@ def make_cells(points: DataFrame, dim: int, probes: int = PROBES, per_cell: int
     n = points.count()
     wanted = int(min(MAX_CELLS, max(1, n // per_cell)))
     take = int(min(4 * MAX_CELLS, max(wanted * 8, 64)))
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(take).select("u").toArrow()
-    m = as_matrix(sample.column(0), dim)
+    # the least of all hash keys first, so that only the sample's own vectors are gathered
+    chosen = points.select("id").select("id", F.xxhash64("id").alias("s")).orderBy("s", "id").limit(take).agg(F.max("s")).first()[0]
+    sample = points.withColumn("s", F.xxhash64("id")).where(F.col("s") <= F.lit(chosen if chosen is not None else 0)).select("s", "id", "u").toArrow()
+    order = np.array(sorted(range(sample.num_rows), key=list(zip(sample.column("s").to_pylist(), sample.column("id").to_pylist(), strict=True)).__getitem__)[:take], np.int64)
+    m = as_matrix(sample.column("u").take(pa.array(order, pa.int64())), dim)
     centroids = m[:wanted].copy() if len(m) else np.zeros((1, dim), np.float32)
     for _ in range(rounds if len(m) > wanted else 0):  # Lloyd on the sample
         home = closest(m, centroids, 1)[:, 0]
@@ -136,9 +165,13 @@ def spread(points: DataFrame, cells: Cells, dim: int, probes: int = PROBES) -> D
 UNIT = ["cell", "home_block", "visitor_block"]
 
 
-def collapse_copies(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one point for each distinct vector under its smallest id, id and rep of every point), both materialised."""
-    groups = points.withColumn("h", F.xxhash64("u")).groupBy("h", "u").agg(F.min("id").alias("rep"))
-    reps = cut(groups.select(F.col("rep").alias("id"), "u"))
-    member = points.select("id", F.col("u").alias("mu"), F.xxhash64("u").alias("mh")).join(reps.select(F.col("id").alias("rep"), "u", F.xxhash64("u").alias("h")), (F.col("mh") == F.col("h")) & (F.col("mu") == F.col("u")))
-    return reps, cut(member.select("id", "rep"))
+def collapse_copies(rows: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(id and u of one point for each distinct usable vector, under its smallest id; id and rep of every point, written). rows: id, v.
+
+    Copies are found by 128 bits of their unit vectors, so no vector is moved for it.
+    """
+    d = cut(digests(rows, dim))
+    reps = d.groupBy(F.col("d").alias("r_d")).agg(F.min("id").alias("rep"))
+    members = cut(d.join(reps, F.col("d") == F.col("r_d")).select("id", "rep"))
+    copies = bounded_broadcast(members.where("id <> rep").select(F.col("id").alias("c_id")))
+    return unit_vectors(rows.join(copies, F.col("id") == F.col("c_id"), "left_anti"), dim), members
