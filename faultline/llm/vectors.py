@@ -135,8 +135,11 @@ def make_cells(points: DataFrame, dim: int, probes: int = PROBES, per_cell: int
     return Cells(centroids, np.maximum(1, -(-homes // HOMES)), np.maximum(1, -(-visits // VISITORS)))
 
 
-def spread(points: DataFrame, cells: Cells, dim: int, probes: int = PROBES) -> DataFrame:
-    """Rows (cell, home_block, visitor_block, is_home, id, u): every point as home of its cell and as visitor of its closest cells, once for each unit of work it takes part in."""
+def spread(points: DataFrame, cells: Cells, dim: int, probes: int = PROBES, code=None) -> DataFrame:
+    """Rows (cell, home_block, visitor_block, is_home, id, u): every point as home of its cell and as visitor of its closest cells, once for each unit of work it takes part in.
+
+    code: a function of vectors and the cells they visit that gives what a visitor is sent as, by default the vector itself.
+    """
     kind = dict(points.dtypes)["id"]
     sent = points.sparkSession.sparkContext.broadcast(cells)
 
@@ -157,7 +160,14 @@ def spread(points: DataFrame, cells: Cells, dim: int, probes: int = PROBES) -> D
                         for h in range(int(c.home_blocks[x])):
                             row.append(i), cell.append(x), hb.append(h), vb.append(int(salt[i] // 7 % c.visitor_blocks[x])), home.append(False)
                 at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(hb, pa.int32()), pa.array(vb, pa.int32()), pa.array(home, pa.bool_()), part.column(0).take(at), part.column(1).take(at)], names=["cell", "home_block", "visitor_block", "is_home", "id", "u"])
+                sent_as = part.column(1).take(at)
+                if code is not None and row:
+                    goes = np.flatnonzero(~np.array(home))
+                    texts = sent_as.to_pylist()
+                    for i, x in zip(goes.tolist(), code(m[np.array(row)[goes]], np.array(cell)[goes]), strict=True):
+                        texts[i] = x
+                    sent_as = pa.array(texts, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(hb, pa.int32()), pa.array(vb, pa.int32()), pa.array(home, pa.bool_()), part.column(0).take(at), sent_as], names=["cell", "home_block", "visitor_block", "is_home", "id", "u"])
 
     return points.select("id", "u").mapInArrow(run, f"cell int, home_block int, visitor_block int, is_home boolean, id {kind}, u binary")
 

@@ -3,7 +3,7 @@ import collections
 import numpy as np
 
 from faultline.llm.clusters import clusters, pivot_links
-from faultline.llm.neighbours import encode, estimate, nearest, rotation
+from faultline.llm.neighbours import encode, encode_queries, estimate, nearest, rotation
 
 DIM = 32
 
@@ -45,7 +45,7 @@ def test_codes_estimate_within_their_bounds():
     r = np.random.default_rng(1)
     turn, base, q = rotation(96), r.standard_normal((400, 96)).astype(np.float32), r.standard_normal((50, 96)).astype(np.float32)
     bits, length, fit = encode(base, turn)
-    est, err = estimate(bits, fit, q, turn)
+    est, err = estimate(bits, fit, encode_queries(q, turn), 96)
     exact = q @ (base / length[:, None]).T
     assert (np.abs(est - exact) <= err).mean() > 0.99
     assert np.allclose(turn @ turn.T, np.eye(96), atol=1e-4)
@@ -97,3 +97,23 @@ def test_nothing_usable(spark):
         assert nearest(x, DIM).count() == 0 and clusters(x, DIM).count() == 0
     one = spark.createDataFrame([("a", [1.0] * DIM)], "id string, v array<double>")
     assert nearest(one, DIM).count() == 0 and clusters(one, DIM).count() == 0
+
+
+def test_visits_as_codes_find_what_brute_force_finds_over_many_cells(spark):
+    r = np.random.default_rng(7)
+    centres = r.standard_normal((60, 48))
+    m = (centres[r.integers(0, 60, 3000)] + 0.45 * r.standard_normal((3000, 48))).astype(np.float32)
+    m[100:130] = m[0]  # copies
+    rows = [(f"p{i:04d}", x.tolist()) for i, x in enumerate(m)]
+    got = {}
+    for x in nearest(spark.createDataFrame(rows, "id string, v array<float>"), 48, k=4, least=0.6).collect():
+        got.setdefault(x.id, set()).add((x.neighbour, round(x.cosine, 5)))
+    u = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1)[:, None]
+    s, want, hit = u @ u.T, 0, 0
+    np.fill_diagonal(s, -9)
+    for i in range(0, 3000, 3):
+        for j in np.lexsort((np.arange(3000), -s[i].round(12)))[:4]:
+            if s[i, j] >= 0.6:
+                want += 1
+                hit += (f"p{j:04d}", round(s[i, j], 5)) in got.get(f"p{i:04d}", ())
+    assert want > 500 and hit >= 0.97 * want
