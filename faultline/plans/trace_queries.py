@@ -143,7 +143,7 @@ h as (select t, idx, string_agg(n, ',' order by pre) ids from q where not step g
 z as (select *, case when kind = 'llm' then min(case when kind = 'llm' then idx end) over (partition by t, actor) = idx end plan,
   json_extract_string(p, '$.tool_calls[0].tool_name') call, coalesce(json_array_length(p, '$.tool_calls'), 0) > 0 calls, case when p is null then coalesce(nm, '') else coalesce(json_extract_string(p, '$.tool_name'), '') end tool,
   case when p is null then 'ok' when json_extract_string(p, '$.is_error') = 'true' then 'err' when json_extract_string(p, '$.result_len') = '0' or lower(trim(coalesce(json_extract_string(p, '$.result_text'), ''))) in {_EMPTY} then 'empty' else 'ok' end outcome,
-  len(list_filter(string_split_regex(coalesce(json_extract_string(p, '$.query'), ''), '\s+'), lambda x: x <> '')) words, case when coalesce(json_array_length(p, '$.documents'), 0) > 0 then 'hit' else 'miss' end hit from q where step)
+  len(list_filter(string_split_regex(coalesce(json_extract_string(p, '$.query'), ''), '\\s+'), lambda x: x <> '')) words, case when coalesce(json_array_length(p, '$.documents'), 0) > 0 then 'hit' else 'miss' end hit from q where step)
 select t trace_id, cast(z.idx as integer) step_index, n span_id, kind, actor, depth, array_to_string(path, '.') tree_path,
  case when kind = 'agent' then concat('agent:', actor, ':invoke') when kind = 'llm' and calls then concat_ws(':', 'llm', actor, 'call', call) when kind = 'llm' then concat('llm:', actor, case when plan then ':plan' else ':answer' end)
   when kind = 'tool' then concat_ws(':', 'tool', actor, tool, outcome) else concat('retr:', actor, ':w', words, ':', hit) end signature,
